@@ -13,13 +13,13 @@ KEY = ["doc_id", "text_hash"]
 
 
 def _named(rows: DataFrame, parts: list[str]) -> DataFrame:
-    """Integer names for the distinct `parts` that occur more than once, in their sort order.
+    """Integer names for the distinct `parts` that occur more than once: their place in the sorted order of their partition.
 
-    Counting comes before sorting, with partial sums, so a part that a third of all rows hold is sent once a task. A part
+    Sorting stays within hash partitions, as sampling whole blocks for ranges would send them to the driver. Counting comes before sorting, with partial sums, so a part that a third of all rows hold is sent once a task. A part
     that occurs once gets no name: its document differs from every other one already.
     """
     repeated = rows.groupBy(*parts).agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    return materialize(repeated.orderBy(*parts).select(*parts, F.monotonically_increasing_id().alias("name")), "block-names")
+    return materialize(repeated.sortWithinPartitions(*parts).select(*parts, F.monotonically_increasing_id().alias("name")), "block-names")
 
 
 def block_names(docs: DataFrame, block: int = BLOCK, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

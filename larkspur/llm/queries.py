@@ -6,13 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, sharding
+from . import exact_dedup, packing, sharding, tokens
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """One entry per operator, over its whole table with production parameters."""
     return {
         "op1_sharding": sharding.op1,
+        "op2_tokens": tokens.op2,
+        "op3_packing": packing.op3,
         "op7_exact_dedup": exact_dedup.op7,
     }
 
