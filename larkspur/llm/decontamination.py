@@ -28,6 +28,16 @@ def words(text: Column) -> Column:
     return F.coalesce(F.regexp_extract_all(lowered(text), F.lit(WORD), F.lit(0)), F.array().cast("array<string>"))
 
 
+def once(value: Column, use) -> Column:
+    """use(value) with value computed once a row, however often use() names it; the optimizer would copy it into lambdas."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def with_words(df: DataFrame, *columns: Column, text: str, name: str) -> DataFrame:
+    """The columns and the words of a text; the generator keeps the optimizer from copying the split into later lambdas."""
+    return df.select(*columns, F.inline(F.array(F.struct(words(F.col(text)).alias(name)))))
+
+
 def _grams(hashes: Column, k: int) -> Column:
     """A hash for each k consecutive words; empty if there are fewer."""
     return F.when(F.size(hashes) >= k, F.transform(F.sequence(F.lit(1), F.size(hashes) - (k - 1)), lambda i: F.xxhash64(*[F.get(hashes, i + (j - 1)) for j in range(k)]))).otherwise(F.array().cast("array<bigint>"))
@@ -40,17 +50,17 @@ def _kept(grams: Column, width: int) -> Column:
     one before it whose hash isn't greater and the nearest one after it whose hash is less.
     """
     runs = F.sequence(F.lit(1), F.size(grams) - (width - 1))
-    least = F.transform(runs, lambda i: F.array_position(F.slice(grams, i, F.lit(width)), F.array_min(F.slice(grams, i, F.lit(width)))).cast("int") + i - 2)
+    least = F.transform(runs, lambda i: once(F.slice(grams, i, F.lit(width)), lambda run: F.array_position(run, F.array_min(run)).cast("int") + i - 2))
     return F.when(F.size(grams) >= width, F.array_distinct(least)).otherwise(F.array().cast("array<int>"))
 
 
-def fingerprints(df: DataFrame, key: str, text: str, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """(key, words, h, at): the winnowed k-grams of each text, with the word position where each begins."""
-    base = df.select(key, words(F.col(text)).alias("words"))
-    hashed = base.withColumn("grams", _grams(F.transform("words", lambda w: F.xxhash64(w)), gram))
-    kept = hashed.withColumn("kept", _kept(F.col("grams"), window - gram + 1))
-    pairs = kept.select(key, "words", F.transform("kept", lambda p: F.struct(F.get("grams", p).alias("h"), p.alias("at"))).alias("prints"))
-    return pairs.select(key, "words", F.inline("prints"))
+def _prints(words: Column, kinds: list[tuple[int, int, int]]) -> Column:
+    """(h, at, kind) of the kept grams of a text, for each (kind, words in a gram, grams in a run)."""
+
+    def of(hashes: Column, kind: int, k: int, width: int) -> Column:
+        return once(_grams(hashes, k), lambda grams: F.transform(_kept(grams, width), lambda p: F.struct(F.get(grams, p).alias("h"), p.alias("at"), F.lit(kind).alias("kind"))))
+
+    return once(F.transform(words, lambda w: F.xxhash64(w)), lambda hashes: F.concat(*[of(hashes, *x) for x in kinds]))
 
 
 def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, gram: int = GRAM, doc_id: str = "doc_id", doc_text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
@@ -61,33 +71,20 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, gram:
     Items shorter than a window are one window, looked up whole among runs of as many words. Nulls and texts without words
     have no hits; so has an empty benchmark. Extra columns are ignored. Rows that repeat an id are answered each.
     """
-    items = materialize(items.select(F.col(item_id).alias("item_id"), words(F.col(item_text)).alias("item_words")).where(F.size("item_words") > 0), "items")
+    items = materialize(with_words(items, F.col(item_id).alias("item_id"), text=item_text, name="item_words").where(F.size("item_words") > 0), "items")
     sizes = sorted(r[0] for r in items.select(F.least(F.size("item_words"), F.lit(window)).alias("n")).distinct().collect())
-    base = docs.select(F.col(doc_id).alias("doc_id"), words(F.col(doc_text)).alias("words"))
+    base = with_words(docs, F.col(doc_id).alias("doc_id"), text=doc_text, name="words")
+    if not sizes:
+        return base.select("doc_id", F.size("words").cast("long").alias("n_words"), F.array().cast("array<struct<start:int,end:int,item_id:bigint>>").alias("hits"))
+    kinds = [(n, gram, window - gram + 1) if n >= window else (n, n, 1) for n in sizes]  # at most `window` of them
     found = []
-    hashes = F.transform("words", lambda w: F.xxhash64(w))
-    parts = []
-    for n in sizes:  # at most `window` of them
-        long = n >= window
-        k, width = (gram, window - gram + 1) if long else (n, 1)
-        of = items.where(F.size("item_words") >= window) if long else items.where(F.size("item_words") == n)
-        listed = of.withColumn("grams", _grams(F.transform("item_words", lambda w: F.xxhash64(w)), k))
-        at = _kept(F.col("grams"), width)
-        found.append(listed.select("item_id", "item_words", F.lit(n).alias("kind"), F.explode(F.transform(at, lambda p: F.struct(F.get("grams", p).alias("h"), p.alias("item_at")))).alias("x")).select("item_id", "item_words", "kind", "x.h", "x.item_at"))
-        parts.append((n, k, width))
-    schema_words = base.withColumn("hashes", hashes)
-    if not parts:
-        return base.select("doc_id", F.size("words").alias("n_words"), F.array().cast("array<struct<start:int,end:int,item_id:bigint>>").alias("hits"))
+    for kind in kinds:
+        of = items.where(F.size("item_words") >= window if kind[0] >= window else F.size("item_words") == kind[0])
+        found.append(of.select("item_id", "item_words", F.inline(_prints(F.col("item_words"), [kind]))).select("item_id", "item_words", "kind", "h", F.col("at").alias("item_at")))
     prints = materialize(reduce(DataFrame.unionByName, found), "item-prints")
-    n_prints = prints.count()
-    small = n_prints <= BROADCAST_ROWS
-    own = F.concat(*[F.transform(_kept(F.col(f"grams_{n}"), width), lambda p, n=n: F.struct(F.get(f"grams_{n}", p).alias("h"), p.alias("at"), F.lit(n).alias("kind"))) for n, k, width in parts])
-    grams = schema_words.select("doc_id", "words", *[_grams(F.col("hashes"), k).alias(f"grams_{n}") for n, k, _ in parts])
-    if small:  # the words ride along only on rows that match, as the join is pipelined with the generator
-        listed = grams.select("doc_id", "words", F.monotonically_increasing_id().alias("row"), own.alias("prints"))
-    else:
-        listed = grams.select("doc_id", "words", F.xxhash64("doc_id", "words").alias("row"), own.alias("prints"))
-    exploded = listed.select("doc_id", "words", "row", F.inline("prints"))
+    small = prints.count() <= BROADCAST_ROWS
+    # the words ride along only on rows that match a broadcast side, as its join is pipelined with the generator
+    exploded = base.select("doc_id", "words", F.inline(_prints(F.col("words"), kinds)))
     side = prints.select("item_id", "item_words", "item_at", "h", "kind")
     joined = exploded.join(F.broadcast(side) if small else side, ["h", "kind"])
     back = F.when(F.col("kind") < window, F.lit(0)).otherwise(F.lit(window - gram))

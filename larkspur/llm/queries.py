@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, packing, sharding, tokens
+from . import decontamination, exact_dedup, packing, sharding, tokens
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -16,6 +16,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_tokens": tokens.op2,
         "op3_packing": packing.op3,
         "op7_exact_dedup": exact_dedup.op7,
+        "op8_decontamination": decontamination.op8,
     }
 
 
