@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, exact_dedup, packing, sharding, tokens
+from . import decontamination, exact_dedup, packing, pii, sharding, tokens, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,8 +15,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_sharding": sharding.op1,
         "op2_tokens": tokens.op2,
         "op3_packing": packing.op3,
+        "op5_toxicity": toxicity.op5,
         "op7_exact_dedup": exact_dedup.op7,
         "op8_decontamination": decontamination.op8,
+        "op9_pii": pii.op9,
     }
 
 
