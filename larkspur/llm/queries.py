@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, exact_dedup, packing, pii, sharding, tokens, toxicity
+from . import decontamination, exact_dedup, line_dedup, ngram_join, packing, pii, sharding, tokens, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,7 +15,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_sharding": sharding.op1,
         "op2_tokens": tokens.op2,
         "op3_packing": packing.op3,
+        "op4_ngram_jaccard": ngram_join.op4,
         "op5_toxicity": toxicity.op5,
+        "op6_line_dedup": line_dedup.op6,
         "op7_exact_dedup": exact_dedup.op7,
         "op8_decontamination": decontamination.op8,
         "op9_pii": pii.op9,
