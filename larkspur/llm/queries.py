@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, exact_dedup, line_dedup, ngram_join, packing, pii, sharding, tokens, toxicity
+from . import decontamination, exact_dedup, line_dedup, ngram_join, packing, pii, sharding, substring_dedup, tokens, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,6 +21,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_exact_dedup": exact_dedup.op7,
         "op8_decontamination": decontamination.op8,
         "op9_pii": pii.op9,
+        "op10_substring_dedup": substring_dedup.op10,
     }
 
 
