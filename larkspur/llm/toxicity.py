@@ -201,3 +201,20 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A toxicity score for all documents."""
     return score(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def keep_clean(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, text_col: str = "text") -> DataFrame:
+    """The rows of docs, with all their columns, whose score is below the threshold; nothing is shuffled.
+
+    Null and empty texts stay. The classifier is trained as in score(), on rows of docs.
+    """
+    lexicon, weights, bias = train(docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole(text_col).alias("text")), labels)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Lexicon(lexicon)
+        for batch in batches:
+            x = np.array([known.features(t or "") for t in batch.column(text_col).to_pylist()], dtype=float).reshape(-1, N_FEATURES)
+            p = 1 / (1 + np.exp(-((x * weights).sum(axis=1) + bias).clip(-30, 30)))
+            yield batch.filter(pa.array(p < threshold))
+
+    return docs.mapInArrow(run, docs.schema)
