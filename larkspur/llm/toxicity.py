@@ -14,6 +14,7 @@ from .shared import materialize, whole
 
 #: At most so many labelled rows of each class (least hash of their id) are learned from, and so many terms kept.
 TRAIN_TOXIC, TRAIN_CLEAN, TERMS = 4000, 6000, 3000
+SAMPLE_PARTS = 24
 #: Words on either side of a hit that make up its context; terms this long or longer may be misspelled by one edit.
 WINDOW, FUZZY = 10, 6
 #: Letters of the beginnings that count as terms beside whole words.
@@ -30,32 +31,34 @@ class Lexicon:
         self.words = {t: w for t, w in terms.items() if not t.endswith("*")}
         self.stems = {t[:-1]: w for t, w in terms.items() if t.endswith("*")}
         self.root: dict = {}
-        self.heads, self.tails = set(), set()
+        self.heads: dict[str, set[int]] = {}
+        self.tails: dict[str, set[int]] = {}
         for t, w in self.words.items():
             if len(t) >= FUZZY:
                 node = self.root
                 for c in t:
                     node = node.setdefault(c, {})
                 node[""] = w
-                self.heads.add(t[: len(t) // 2])
-                self.tails.add(t[len(t) // 2 :])
+                near = {len(t) - 1, len(t), len(t) + 1}
+                self.heads.setdefault(t[: len(t) // 2], set()).update(near)
+                self.tails.setdefault(t[len(t) // 2 :], set()).update(near)
         self.lengths = sorted({len(h) for h in self.heads}), sorted({len(t) for t in self.tails})
         self.memo: dict[str, float] = {}
 
     def match(self, word: str) -> float:
         """The largest weight of a term one edit away, 0 if there is none.
 
-        One edit leaves one half of the term whole, so words that begin with no first half and end with no second half
-        are passed over before the trie is walked.
+        One edit leaves one half of the term whole and its length within one, so words that begin with no first half and
+        end with no second half of such a term are passed over before the trie is walked.
         """
-        if word in self.memo:
-            return self.memo[word]
-        best = 0.0
-        if len(word) >= FUZZY - 1 and (any(word[:k] in self.heads for k in self.lengths[0]) or any(word[-k:] in self.tails for k in self.lengths[1])):
+        n = len(word)
+        if n < FUZZY - 1 or not (any(n in self.heads.get(word[:k], ()) for k in self.lengths[0]) or any(n in self.tails.get(word[-k:], ()) for k in self.lengths[1])):
+            return 0.0
+        best = self.memo.get(word)
+        if best is None:
             best = self._walk(word)
-        if len(self.memo) > 300_000:
-            self.memo.clear()
-        self.memo[word] = best
+            if len(self.memo) < 300_000:
+                self.memo[word] = best
         return best
 
     def _walk(self, word: str) -> float:
@@ -90,11 +93,10 @@ class Lexicon:
         out = [0.0] * N_FEATURES
         if not (exact or fuzzy or stems):
             return out
-        words = list(_WORD.finditer(lower))
-        hits, quoted, n, mark = [], 0.0, 0, 0
+        words = list(_WORD.finditer(lower)) if exact or fuzzy else []
+        hits, quoted, n, mark = [], 0.0, len(words), 0
         at = 0
         for i, m in enumerate(words):
-            n += 1
             w = m[0]
             if w in exact or w in fuzzy:
                 mark += lower.count('"', at, m.start()) + lower.count("“", at, m.start()) + lower.count("”", at, m.start())
@@ -158,7 +160,7 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[dict[str, float], np.ndar
     spread = F.sqrt(1 / (F.col("a") + 0.5) + 1 / (F.col("b") + 0.5))
     best = counted.where("a >= 3").withColumn("odds", odds).withColumn("z", odds / spread).where("odds > 1.5 and z > 2.5").orderBy(F.desc("z"), "term").limit(TERMS)
     lexicon = {r["term"]: float(r["odds"]) for r in best.select("term", "odds").collect()}
-    seen = _featured(sample.where("not half").select("d", "toxic", "text"), lexicon).collect()
+    seen = _featured(sample.where("not half").select("d", "toxic", "text").repartition(SAMPLE_PARTS), lexicon).collect()
     if not seen or len({r["toxic"] for r in seen}) < 2:
         return lexicon, np.zeros(N_FEATURES), -3.0
     x, y = np.array([r["features"] for r in seen], dtype=float), np.array([r["toxic"] for r in seen], dtype=float)
