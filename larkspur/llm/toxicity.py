@@ -17,6 +17,8 @@ TRAIN_TOXIC, TRAIN_CLEAN, TERMS = 4000, 6000, 3000
 SAMPLE_PARTS = 24
 #: Words on either side of a hit that make up its context; terms this long or longer may be misspelled by one edit.
 WINDOW, FUZZY = 10, 6
+#: Log odds from which a term may be misspelled: weaker ones lie one edit from too many ordinary words.
+FUZZY_ODDS = 4.0
 #: Letters of the beginnings that count as terms beside whole words.
 STEM = 5
 _WORD = re.compile(r"[^\W\d_]+(?:[0-9@$!*][^\W\d_]+)*")
@@ -34,7 +36,7 @@ class Lexicon:
         self.heads: dict[str, set[int]] = {}
         self.tails: dict[str, set[int]] = {}
         for t, w in self.words.items():
-            if len(t) >= FUZZY:
+            if len(t) >= FUZZY and w >= FUZZY_ODDS:
                 node = self.root
                 for c in t:
                     node = node.setdefault(c, {})
@@ -51,16 +53,25 @@ class Lexicon:
         One edit leaves one half of the term whole and its length within one, so words that begin with no first half and
         end with no second half of such a term are passed over before the trie is walked.
         """
-        n = len(word)
-        if n < FUZZY - 1 or not (any(n in self.heads.get(word[:k], ()) for k in self.lengths[0]) or any(n in self.tails.get(word[-k:], ()) for k in self.lengths[1])):
-            return 0.0
         best = self.memo.get(word)
         if best is None:
-            best = self._walk(word)
+            best = self._walk(word) if self._near(word) else 0.0
             if len(self.memo) < 300_000:
                 self.memo[word] = best
         return best
 
+    def _near(self, word: str) -> bool:
+        n = len(word)
+        if n < FUZZY - 1:
+            return False
+        for k in self.lengths[0]:
+            if n in self.heads.get(word[:k], ()):
+                return True
+        for k in self.lengths[1]:
+            if n in self.tails.get(word[-k:], ()):
+                return True
+        return False
+
     def _walk(self, word: str) -> float:
         best, stack = 0.0, [(self.root, frozenset({(0, 0), (1, 1)}))]
         n = len(word)
@@ -89,7 +100,13 @@ class Lexicon:
         distinct = set(_WORD.findall(lower))
         exact = distinct & self.words.keys()
         stems = [s for w in distinct if len(w) > STEM and (s := w[:STEM]) in self.stems]
-        fuzzy = {w: v for w in distinct - exact if (v := self.match(w)) > 0}
+        known, fuzzy = self.memo, {}
+        for w in distinct:
+            v = known.get(w)
+            if v is None:
+                v = self.match(w)
+            if v and w not in exact:
+                fuzzy[w] = v
         out = [0.0] * N_FEATURES
         if not (exact or fuzzy or stems):
             return out
@@ -125,6 +142,18 @@ class Lexicon:
         return out
 
 
+_LEXICONS: dict[int, Lexicon] = {}
+
+
+def lexicon_of(terms: dict[str, float]) -> Lexicon:
+    """This process's lexicon of these terms; the last one is kept for later tasks."""
+    key = hash(frozenset(terms.items()))
+    if key not in _LEXICONS:
+        _LEXICONS.clear()
+        _LEXICONS[key] = Lexicon(terms)
+    return _LEXICONS[key]
+
+
 def _fit(x: np.ndarray, y: np.ndarray, steps: int = 1500, rate: float = 0.3, decay: float = 1e-4) -> tuple[np.ndarray, float]:
     """Logistic regression by gradient steps with momentum; features are scaled within."""
     scale = np.maximum(x.std(axis=0), 1e-3)
@@ -172,7 +201,7 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[dict[str, float], np.ndar
 
 def _featured(rows: DataFrame, lexicon: dict[str, float]) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Lexicon(lexicon)
+        known = lexicon_of(lexicon)
         for batch in batches:
             values = [known.features(t or "") for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("d"), batch.column("toxic"), pa.array(values, pa.list_(pa.float64()))], names=["d", "toxic", "features"])
@@ -190,7 +219,7 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     lexicon, weights, bias = train(rows, labels)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Lexicon(lexicon)
+        known = lexicon_of(lexicon)
         for batch in batches:
             x = np.array([known.features(t) for t in batch.column("text").to_pylist()], dtype=float).reshape(-1, N_FEATURES)
             p = 1 / (1 + np.exp(-((x * weights).sum(axis=1) + bias).clip(-30, 30)))
@@ -213,7 +242,7 @@ def keep_clean(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, text_
     lexicon, weights, bias = train(docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole(text_col).alias("text")), labels)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Lexicon(lexicon)
+        known = lexicon_of(lexicon)
         for batch in batches:
             x = np.array([known.features(t or "") for t in batch.column(text_col).to_pylist()], dtype=float).reshape(-1, N_FEATURES)
             p = 1 / (1 + np.exp(-((x * weights).sum(axis=1) + bias).clip(-30, 30)))
