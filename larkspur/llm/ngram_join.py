@@ -128,95 +128,95 @@ def _chunks(sets: Iterator[tuple[list, np.ndarray, np.ndarray]], parts: int) ->
 
 
 class Trie:
-    """Sets of integers in a global order as paths of a prefix tree, for overlap searches that share common beginnings."""
-
-    def __init__(self, sets: list[np.ndarray]):
-        """sets: each in the global order, as ranks that ascend. Paths are laid out in lexicographic order."""
-        keys = [s.tolist() for s in sets]
-        self.order = sorted(range(len(sets)), key=lambda i: keys[i])
-        self.children: list[dict[int, int]] = [{}]
-        self.ends: list[list[int]] = [[]]
-        self.short, self.long = [1 << 60], [0]
-        for i in self.order:
-            node, n = 0, len(keys[i])
-            self._span(0, n)
-            for t in keys[i]:
-                nxt = self.children[node].get(t)
-                if nxt is None:
-                    nxt = len(self.children)
-                    self.children[node][t] = nxt
-                    self.children.append({})
-                    self.ends.append([])
-                    self.short.append(1 << 60)
-                    self.long.append(0)
-                node = nxt
-                self._span(node, n)
-            self.ends[node].append(i)
-
-    def _span(self, node: int, n: int) -> None:
-        self.short[node], self.long[node] = min(self.short[node], n), max(self.long[node], n)
-
-    def search(self, probe: np.ndarray, percent: int, skip: set[int]) -> Iterator[int]:
-        """Members linked with the probe. A node is left when the shingles still to come, on its longest path or in the
-        probe, can't lift the overlap it shares with all paths below to what the shortest of them needs."""
-        mine, n = {t: k for k, t in enumerate(probe.tolist())}, len(probe)
-        stack = [(0, 0, 0, 0)]
-        while stack:
-            node, depth, overlap, used = stack.pop()
-            short, long = self.short[node], self.long[node]
-            if 100 * n < percent * short or 100 * long < percent * n:
-                continue
-            need = -(-percent * (n + max(short, -(-percent * n // 100))) // (100 + percent))
-            if overlap + min(long - depth, n - used) < need:
-                continue
-            for i in self.ends[node]:
-                if i not in skip and 100 * overlap >= percent * (n + depth - overlap):
-                    yield i
-            for t, child in self.children[node].items():
-                k = mine.get(t)
-                if k is None:
-                    stack.append((child, depth + 1, overlap, used))
-                else:
-                    stack.append((child, depth + 1, overlap + 1, k + 1))
+    """Sets of integers in a global order as paths of a prefix tree, for overlap searches that share common beginnings.
+
+    The tree is kept level by level in arrays: each node's token, parent, and the least and greatest size of the sets below.
+    """
+
+    def __init__(self, sets: list[np.ndarray], vocabulary: int):
+        """sets: each in the global order, as ranks below `vocabulary` that ascend."""
+        keys = [s.astype(">i4").tobytes() for s in sets]
+        self.order = np.array(sorted(range(len(sets)), key=keys.__getitem__), dtype=np.int64)
+        self.vocabulary = vocabulary
+        sizes = np.array([len(sets[i]) for i in self.order])
+        shared = np.zeros(len(sets), dtype=np.int64)
+        for k in range(1, len(sets)):
+            a, b = sets[self.order[k - 1]], sets[self.order[k]]
+            m = min(len(a), len(b))
+            differ = np.flatnonzero(a[:m] != b[:m])
+            shared[k] = differ[0] if len(differ) else m
+        starts = np.concatenate([[0], np.cumsum(sizes)])[:-1]
+        flat = np.concatenate([sets[i] for i in self.order]) if len(sets) else np.zeros(0, np.int64)
+        self.levels = []
+        node = np.zeros(len(sets), dtype=np.int64)
+        for depth in range(int(sizes.max(initial=0))):
+            alive = np.flatnonzero(sizes > depth)
+            first = np.flatnonzero(shared[alive] <= depth)
+            first = np.union1d([0], first)
+            own = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(alive))))
+            parent = node[alive[first]]
+            ends = sizes[alive] == depth + 1
+            self.levels.append((flat[starts[alive[first]] + depth], parent, np.minimum.reduceat(sizes[alive], first), np.maximum.reduceat(sizes[alive], first), self.order[alive[ends]], own[ends]))
+            node[alive] = own
+
+    def search(self, probe: np.ndarray, percent: int) -> np.ndarray:
+        """Members linked with the probe. A subtree is left when the shingles still to come, on its longest path or in the
+        probe, can't lift the overlap that all its paths share to what the shortest of them needs."""
+        n = len(probe)
+        mine = np.zeros(self.vocabulary, dtype=bool)
+        mine[probe] = True
+        found = []
+        alive, overlap = np.ones(1, dtype=bool), np.zeros(1, dtype=np.int64)
+        for depth, (token, parent, short, long, members, at) in enumerate(self.levels):
+            keep = np.flatnonzero(alive[parent])
+            if not len(keep):
+                break
+            t, lo, hi = token[keep], short[keep], long[keep]
+            have = overlap[parent[keep]] + mine[t]
+            need = -(-percent * (n + np.maximum(lo, -(-percent * n // 100))) // (100 + percent))
+            live = (100 * n >= percent * lo) & (100 * hi >= percent * n) & (have + np.minimum(hi - depth - 1, n - np.searchsorted(probe, t, side="right")) >= need)
+            alive = np.zeros(len(token), dtype=bool)
+            alive[keep[live]] = True
+            overlap = np.zeros(len(token), dtype=np.int64)
+            overlap[keep] = have
+            if len(members):
+                linked = alive[at] & (100 * overlap[at] >= percent * (n + depth + 1 - overlap[at]))
+                found.append(members[linked])
+        return np.concatenate(found) if found else np.zeros(0, dtype=np.int64)
 
 
 def join_block(nodes: np.ndarray, sets: list[np.ndarray], percent: int = PERCENT) -> list[tuple[int, int]]:
     """(node, root) for nodes that links within the block connect; the root is the smallest node reached.
 
-    First each set in turn that nothing reaches yet is compared with all others at once, which settles groups of copies in
-    few steps. What still falls into several classes is searched in a prefix tree of all sets, from every set outside the
-    largest class, for links to other classes, so no link is lost.
+    All sets go into one prefix tree, rarest shingles first. Each set in turn that nothing reaches yet is searched, which
+    settles groups of copies in few searches. If several classes are left, each set outside the largest is searched too, so
+    no link is lost.
     """
     m = len(sets)
     sizes = np.array([len(s) for s in sets])
-    flat, owner = np.concatenate(sets), np.repeat(np.arange(m), sizes)
+    values, inverse, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    rank = np.empty(len(values), dtype=np.int64)
+    rank[np.lexsort((values, times))] = np.arange(len(values))
+    bounds = np.concatenate([[0], np.cumsum(sizes)])
+    ordered = [np.sort(rank[inverse[a:b]]) for a, b in zip(bounds, bounds[1:])]
+    trie = Trie(ordered, len(values))
     label = np.arange(m)
     reached = np.zeros(m, dtype=bool)
+    searched = np.zeros(m, dtype=bool)
 
-    def merge(members: np.ndarray) -> None:
-        if len(found := np.unique(label[members])) > 1:
+    def search(i: int) -> None:
+        linked = np.append(trie.search(ordered[i], percent), i)
+        reached[linked] = searched[i] = True
+        found = np.unique(label[linked])
+        if len(found) > 1:
             label[np.isin(label, found)] = found[0]
 
     for i in range(m):
-        if reached[i]:
-            continue
-        overlap = np.bincount(owner[np.isin(flat, sets[i])], minlength=m)
-        linked = 100 * overlap >= percent * (sizes + sizes[i] - overlap)
-        linked[i] = True
-        reached |= linked
-        merge(np.flatnonzero(linked))
+        if not reached[i]:
+            search(i)
     classes, counts = np.unique(label, return_counts=True)
-    if len(classes) > 1:
-        values, inverse, times = np.unique(flat, return_inverse=True, return_counts=True)
-        rank = np.empty(len(values), dtype=np.int64)
-        rank[np.lexsort((values, times))] = np.arange(len(values))
-        bounds = np.concatenate([[0], np.cumsum(sizes)])
-        ordered = [np.sort(rank[inverse[a:b]]) for a, b in zip(bounds, bounds[1:])]
-        if len(times) and times.max() > 1:
-            trie = Trie(ordered)
-            for i in np.flatnonzero(label != classes[np.argmax(counts)]):
-                for k in trie.search(ordered[i], percent, set(np.flatnonzero(label == label[i]).tolist())):
-                    merge(np.array([i, k]))
+    for i in np.flatnonzero((label != classes[np.argmax(counts)]) & ~searched) if len(classes) > 1 else ():
+        search(i)
     out = []
     for c in np.unique(label):
         mine = np.sort(nodes[label == c])
@@ -224,28 +224,49 @@ def join_block(nodes: np.ndarray, sets: list[np.ndarray], percent: int = PERCENT
     return out
 
 
+#: Up to so many edges are finished in one task of an executor; more are contracted by rounds over the cluster first.
+FEW_EDGES = 1_000_000
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) of every node of the edges (a, b): the smallest node reachable.
 
-    Alternates linking larger and smaller neighbours to the least one until nothing changes; each round works on the edge
+    Alternates linking larger and smaller neighbours to the least one until all groups are stars; each round works on the edge
     table in the cluster, minima are pre-aggregated, and neither links nor components reach the driver.
     """
     now = materialize(edges.where("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
-    seen = None
-    while True:
+    while now.count() > FEW_EDGES:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = materialize(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "edges")
+        release(now)
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u")
-        after = materialize(small.where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "edges")
-        state = after.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        release(now, large)
-        now = after
-        if state == seen:
-            break
-        seen = state
-    return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+        now = materialize(small.where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        release(large)
+        # done when each node has one edge and no root has one: all are stars then
+        if now.groupBy("u").count().where("count > 1").isEmpty() and now.join(now.select(F.col("u").alias("v")), "v", "left_semi").isEmpty():
+            return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+    return now.coalesce(1).mapInArrow(_forest, "node long, root long")
+
+
+def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, root) of a bounded number of edges, by union-find."""
+    up: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while up.setdefault(x, x) != x:
+            up[x] = up[up[x]]
+            x = up[x]
+        return x
+
+    for batch in batches:
+        for a, b in zip(batch.column("u").to_pylist(), batch.column("v").to_pylist()):
+            a, b = root(a), root(b)
+            if a != b:
+                up[max(a, b)] = min(a, b)
+    nodes = list(up)
+    yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([root(x) for x in nodes], pa.int64())], names=["node", "root"])
 
 
 #: Cells of the table of rough counts (a byte each when sent to the tasks), and shingles of one block of a large candidate group.
