@@ -15,7 +15,7 @@ from .shared import materialize, whole
 from .shingles import _ODD, _inverse, _powers, mix
 
 #: Bytes of a string that must not repeat, and of the grams whose least hash in it marks a suffix.
-LENGTH, GRAM = 50, 16
+LENGTH, GRAM = 50, 24
 _BASE = 0xA24BAED4963EE407
 _RAW = mix(np.arange(1, 257, dtype=np.uint64) * _ODD * np.uint64(3))
 _UP, _DOWN = _powers(_BASE, 1 << 16), _powers(_inverse(_BASE), 1 << 16)
