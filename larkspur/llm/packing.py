@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .shared import gapless_rank, materialize, whole
-from .tokens import END_ID, default_tokenizer, slices, token_rows
+from .tokens import ENCODED, END_ID, default_tokenizer, slices, token_rows
 
 CAPACITY = 1024
 #: Groups of large lengths, and the least length that counts as large, as a share of the capacity.
@@ -193,7 +193,7 @@ def cut(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None, end_
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for rows in slices(batch):
+            for rows in slices(batch, most=ENCODED):
                 out: tuple[list, ...] = ([], [], [], [], [])
                 for doc, ids in zip(rows.column("doc_id").to_pylist(), token_rows(rows.column("text").to_pylist(), path, end_id)):
                     n, view = len(ids) // 4, memoryview(ids)

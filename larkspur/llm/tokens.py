@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -18,12 +19,17 @@ from .shared import materialize, new_path, whole
 
 #: Appended to each document.
 END_ID = 2
-#: Bytes of text handled at once in a Python worker.
-SLICE = 1 << 20
-#: Chunks that a worker remembers; beyond that it starts anew (bounds memory, changes no result).
-REMEMBERED = 600_000
-#: Longer chunks are encoded each time.
-LONGEST = 48
+#: Bytes of text handled at once in a Python worker; more when encoding, as each pre-token is encoded once a slice.
+SLICE, ENCODED = 1 << 20, 4 << 20
+#: Pre-tokens that a worker remembers, the first it sees (bounds memory, changes no result).
+REMEMBERED = 400_000
+#: Fixed value: the pattern by which the public byte-level vocabulary splits texts before merging bytes.
+PRETOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: The same for texts of Latin letters, where letters and digits are what `re` takes for them, which is faster.
+LATIN = r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+"
+#: Characters beyond those texts, and characters that libraries disagree on as white space: texts with them are encoded whole.
+BEYOND = re.compile("[\x1c-\x1f\x85\xb2\xb3\xb9\xbc-\xbe]|[^\x00-\u024f]")
+DISPUTED = re.compile("[\x1c-\x1f\x85]")
 
 
 def default_tokenizer() -> str:
@@ -36,97 +42,55 @@ def default_tokenizer() -> str:
 class Encoder:
     """Ids of texts, as little-endian unsigned 32-bit integers, exactly as the tokenizers library gives them.
 
-    A byte-level vocabulary splits text before each single space between two other characters that aren't white space, so
-    what stands between two such spaces can be encoded once and remembered. Texts where spaces stand beside other white
-    space are encoded whole.
+    A byte-level vocabulary merges bytes within pre-tokens only, so each is encoded by the library once and remembered.
     """
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        import regex
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.spaced: dict[str, bytes | int] = {}
-        self.bare: dict[str, bytes] = {}
+        self.latin, self.other = re.compile(LATIN).findall, regex.compile(PRETOKEN).findall
+        self.known: dict[str, bytes] = {}
         self.newline = self._ids("\n")
 
     def _ids(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
-    def _learn_words(self, words: set[str], spaced: bool) -> None:
-        """Encode words of letters alone, all in one call, with line breaks between them."""
-        known = self.spaced if spaced else self.bare
-        words = [w for w in words if w not in known]
-        if not words:
-            return
-        lead = " " if spaced else ""
-        ids = np.array(self.tokenizer.encode("\n".join(lead + w for w in words), add_special_tokens=False).ids, dtype="<u4")
-        cuts = np.flatnonzero(ids == np.frombuffer(self.newline, "<u4")[0])
-        if len(cuts) != len(words) - 1:
-            for w in words:
-                known[w] = self._ids(lead + w)
-            return
-        data = ids.tobytes()
-        ends = [*(cuts * 4).tolist(), len(data)]
-        at = 0
-        for w, end in zip(words, ends):
-            known[w] = data[at:end]
-            at = end + 4
-
-    @staticmethod
-    def _pieces(chunk: str) -> list[tuple[str, bool]] | None:
-        """A chunk as letter-only words (and whether a space leads), line breaks and marks; None if it isn't so simple."""
-        out: list[tuple[str, bool]] = []
-        for i, line in enumerate(chunk.split("\n")):
-            if i:
-                out.append(("\n", False))
-            if line.isalpha():
-                out.append((line, i == 0))
-            elif line[:-1].isalpha() and line[-1] in ".,;:!?":
-                out += [(line[:-1], i == 0), (line[-1], False)]
-            else:
-                return None
+    def _split(self, text: str) -> list[str] | None:
+        if BEYOND.search(text) is None:
+            return self.latin(text)
+        return None if DISPUTED.search(text) else self.other(text)
+
+    def _learn(self, missing: set[str]) -> dict[str, bytes]:
+        """Words of letters in one call, with line breaks between them; other pre-tokens one by one."""
+        words = [w for w in missing if w.isalpha() or w[0] == " " and w[1:].isalpha()]
+        out = {}
+        if words:
+            ids = np.array(self.tokenizer.encode("\n".join(words), add_special_tokens=False).ids, dtype="<u4")
+            cuts = np.flatnonzero(ids == np.frombuffer(self.newline, "<u4")[0])
+            if len(cuts) == len(words) - 1:
+                data, at = ids.tobytes(), 0
+                for w, end in zip(words, [*(cuts * 4).tolist(), len(data)]):
+                    out[w] = data[at:end]
+                    at = end + 4
+        for w in missing:
+            if w not in out:
+                out[w] = self._ids(w)
         return out
 
-    def _learn(self, missing: set[str]) -> None:
-        simple, words, bare = [], set(), set()
-        for c in missing:
-            if not c or c[0].isspace() or c[-1].isspace():
-                self.spaced[c] = 0
-            elif len(c) <= LONGEST and (pieces := self._pieces(c)) is not None:
-                simple.append((c, pieces))
-                for w, lead in pieces:
-                    if w != "\n":
-                        (words if lead else bare).add(w)
-            else:
-                self.spaced[c] = self._ids(" " + c)
-        self._learn_words(words, True)
-        self._learn_words({w for w in bare if w.isalpha()}, False)
-        for w in bare:
-            if w not in self.bare:
-                self.bare[w] = self._ids(w)
-        for c, pieces in simple:
-            self.spaced[c] = b"".join(self.newline if w == "\n" else (self.spaced if lead else self.bare)[w] for w, lead in pieces)
-
     def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.spaced) + len(self.bare) > REMEMBERED:
-            self.spaced.clear()
-            self.bare.clear()
-        split = [t.split(" ") for t in texts]
-        known = self.spaced
-        missing = {c for s in split for c in s[1:] if c not in known}
-        if missing:
-            self._learn(missing)
-        out = []
-        for t, s in zip(texts, split):
-            if s[0] and s[0][-1].isspace():
-                out.append(self._ids(t))
-                continue
-            try:
-                out.append((self._ids(s[0]) if s[0] else b"") + b"".join(map(known.__getitem__, s[1:])) if s[0] or len(s) == 1 else self._ids(t))
-            except TypeError:
-                out.append(self._ids(t))
+        known = self.known
+        split = [self._split(t) for t in texts]
+        missing = {p for s in split if s for p in s}.difference(known)
+        extra = self._learn(missing)
+        known.update(extra)
+        out = [self._ids(t) if s is None else b"".join(map(known.__getitem__, s)) for t, s in zip(texts, split)]
+        if len(known) > REMEMBERED:
+            for w in extra:
+                del known[w]
         return out
 
 
@@ -140,10 +104,10 @@ def encoder(path: str) -> Encoder:
     return _ENCODERS[path]
 
 
-def slices(batch: pa.RecordBatch, text: str = "text") -> Iterator[pa.RecordBatch]:
-    """The batch in runs of rows with about SLICE bytes of text each; one long text may be more."""
+def slices(batch: pa.RecordBatch, text: str = "text", most: int = SLICE) -> Iterator[pa.RecordBatch]:
+    """The batch in runs of rows with about `most` bytes of text each; one long text may be more."""
     sizes = np.asarray(pa.compute.fill_null(pa.compute.binary_length(batch.column(text)), 0), dtype=np.int64)
-    step = np.cumsum(sizes) // SLICE
+    step = np.cumsum(sizes) // most
     edges = [0, *(np.flatnonzero(np.diff(step)) + 1).tolist(), len(sizes)]
     for a, b in zip(edges, edges[1:]):
         if b > a:
@@ -171,7 +135,7 @@ def write_tokens(docs: DataFrame, target: str, path: str | None = None, end_id:
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, at = TaskContext.get().partitionId(), 0
         for batch in batches:
-            for rows in slices(batch):
+            for rows in slices(batch, most=ENCODED):
                 ids = token_rows(rows.column("text").to_pylist(), path, end_id)
                 n = np.array([len(x) // 4 for x in ids], dtype=np.int64)
                 ends = np.cumsum(n)
