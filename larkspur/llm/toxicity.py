@@ -15,9 +15,9 @@ from .shared import materialize, whole
 #: At most so many labelled rows of each class (least hash of their id) are learned from, and so many terms kept.
 TRAIN_TOXIC, TRAIN_CLEAN, TERMS = 4000, 6000, 3000
 SAMPLE_PARTS = 24
-#: Words on either side of a hit that make up its context; terms this long or longer may be misspelled by one edit.
-WINDOW, FUZZY = 10, 6
-#: Log odds from which a term may be misspelled: weaker ones lie one edit from too many ordinary words.
+#: Words on either side of a hit that make up its context.
+WINDOW = 10
+#: Log odds from which a term may be misspelled in a Lexicon made without another bound; score() and keep_clean() set none.
 FUZZY_ODDS = 4.0
 #: Letters of the beginnings that count as terms beside whole words.
 STEM = 5
@@ -26,32 +26,35 @@ _SPLIT = r"[^\p{L}]+"
 N_FEATURES = 9
 
 
+def shortened(word: str) -> set[str]:
+    """The word without each one of its letters."""
+    return {word[:i] + word[i + 1 :] for i in range(len(word))}
+
+
 class Lexicon:
     """Terms with weights in a trie. match() meets it with the Levenshtein automaton of a word, of distance at most one."""
 
-    def __init__(self, terms: dict[str, float]):
+    def __init__(self, terms: dict[str, float], least_odds: float = FUZZY_ODDS):
         self.words = {t: w for t, w in terms.items() if not t.endswith("*")}
         self.stems = {t[:-1]: w for t, w in terms.items() if t.endswith("*")}
         self.root: dict = {}
-        self.heads: dict[str, set[int]] = {}
-        self.tails: dict[str, set[int]] = {}
+        self.near: set[str] = set()
         for t, w in self.words.items():
-            if len(t) >= FUZZY and w >= FUZZY_ODDS:
+            if w >= least_odds:
                 node = self.root
                 for c in t:
                     node = node.setdefault(c, {})
                 node[""] = w
-                near = {len(t) - 1, len(t), len(t) + 1}
-                self.heads.setdefault(t[: len(t) // 2], set()).update(near)
-                self.tails.setdefault(t[len(t) // 2 :], set()).update(near)
-        self.lengths = sorted({len(h) for h in self.heads}), sorted({len(t) for t in self.tails})
+                self.near.add(t)
+                self.near |= shortened(t)
+        self.longest = max(map(len, self.near), default=-1) + 1
         self.memo: dict[str, float] = {}
 
     def match(self, word: str) -> float:
         """The largest weight of a term one edit away, 0 if there is none.
 
-        One edit leaves one half of the term whole and its length within one, so words that begin with no first half and
-        end with no second half of such a term are passed over before the trie is walked.
+        A word one edit from a term equals it, or lacks a letter to equal it, or both lack a letter to be equal; other words
+        are passed over before the trie is walked.
         """
         best = self.memo.get(word)
         if best is None:
@@ -61,16 +64,7 @@ class Lexicon:
         return best
 
     def _near(self, word: str) -> bool:
-        n = len(word)
-        if n < FUZZY - 1:
-            return False
-        for k in self.lengths[0]:
-            if n in self.heads.get(word[:k], ()):
-                return True
-        for k in self.lengths[1]:
-            if n in self.tails.get(word[-k:], ()):
-                return True
-        return False
+        return len(word) <= self.longest and (word in self.near or not self.near.isdisjoint(shortened(word)))
 
     def _walk(self, word: str) -> float:
         best, stack = 0.0, [(self.root, frozenset({(0, 0), (1, 1)}))]
@@ -150,7 +144,7 @@ def lexicon_of(terms: dict[str, float]) -> Lexicon:
     key = hash(frozenset(terms.items()))
     if key not in _LEXICONS:
         _LEXICONS.clear()
-        _LEXICONS[key] = Lexicon(terms)
+        _LEXICONS[key] = Lexicon(terms, least_odds=0.0)
     return _LEXICONS[key]
 
 

@@ -281,6 +281,20 @@ def test_automaton():
     assert quoted[1] > 0 and quoted[0] == 0 and plain[0] > 0 and plain[1] == 0
 
 
+def test_automaton_meets_the_whole_lexicon():
+    terms = {"worthless": 2.0, "stupid": 1.0, "sometimes": 1.6, "idiot": 3.0, "scum": 1.5, "scums": 2.5}
+    lexicon = toxicity.lexicon_of(terms)
+    edits = lambda w: {w[:i] + c + w[j:] for i in range(len(w) + 1) for j in (i, i + 1) for c in ("", "a", "0", "m", "s") if j <= len(w)}
+    for word in set().union(*map(edits, terms)) | {"wrthles", "student", "ido", "", "u"}:
+        assert lexicon.match(word) == max((v for t, v in terms.items() if _one_edit(word, t)), default=0.0), word
+    assert lexicon.match("sometims") == 1.6 and lexicon.match("1diot") == 3.0 and lexicon.match("scvm") == 1.5
+
+
+def _one_edit(a: str, b: str) -> bool:
+    k = next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+    return a == b or a[k + 1 :] == b[k + 1 :] or a[k:] == b[k + 1 :] or a[k + 1 :] == b[k:]
+
+
 def test_toxicity_learns(spark, empty):
     r = random.Random(1)
     rows, labels = [], []
