@@ -112,10 +112,11 @@ class Lexicon:
             if w in exact or w in fuzzy:
                 mark += lower.count('"', at, m.start()) + lower.count("“", at, m.start()) + lower.count("”", at, m.start())
                 at = m.start()
+                v = self.words[w] if w in exact else fuzzy[w]
                 if mark % 2:
-                    quoted += self.words.get(w, 0.0)
+                    quoted += v
                 else:
-                    hits.append((i, self.words.get(w, 0.0)))
+                    hits.append((i, v))
         dense, j, run = 0.0, 0, 0.0
         for i, v in hits:
             run += v

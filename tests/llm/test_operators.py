@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import itertools
+import math
 import random
 import re
 import struct
@@ -295,6 +296,14 @@ def _one_edit(a: str, b: str) -> bool:
     return a == b or a[k + 1 :] == b[k + 1 :] or a[k:] == b[k + 1 :] or a[k + 1 :] == b[k:]
 
 
+def test_misspelled_hits_have_context():
+    lexicon = toxicity.lexicon_of({"worthless": 4.0, "stupid": 4.5})
+    quoted, plain = lexicon.features('they said "worthles" once'), lexicon.features("you are worthles")
+    assert quoted[1] > 0 and quoted[0] == quoted[3] == 0 and plain[0] > 0 and plain[3] > 0 and plain[1] == 0
+    dense, apart = lexicon.features("worthles stupld " + "word " * 30), lexicon.features("worthles " + "word " * 30 + "stupld")
+    assert dense[3] == math.log1p(8.5) and apart[3] == math.log1p(4.5) and dense[0] == apart[0] == math.log1p(8.5)
+
+
 def test_toxicity_learns(spark, empty):
     r = random.Random(1)
     rows, labels = [], []
