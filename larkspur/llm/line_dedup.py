@@ -14,14 +14,31 @@ from pyspark.sql.window import Window
 
 from .shared import materialize, whole
 
-#: Units with fewer words repeat by chance and always stay.
-LEAST_WORDS = 6
+#: Parts of a line with fewer words repeat by chance; they stay unless they are so many characters long, or their line goes.
+LEAST_WORDS, LEAST_CHARS = 6, 20
 #: A unit is a sentence or the rest of a line: it ends after sentence marks or before a line break.
 _UNIT = re.compile(r"[^\s.!?][^\n.!?]*[.!?]*")
+#: A sentence that decimals, host names and initials don't end, but wide sentence marks do.
+_SENTENCE = re.compile(r"[^\s.!?。！？][^\n.!?。！？]*(?:(?:[.!?]+(?=[^\s.!?])|(?<=\b[^\W\d_])\.)[^\n.!?。！？]*)*[.!?。！？]*")
+_LINE = re.compile(r"[^\s](?:[^\n]*[^\s])?")
 
 
-def units(docs: DataFrame, least_words: int = LEAST_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, start, end, h1, h2) of each unit that has enough words; start and end in characters of the original text.
+def places(text: str, least_words: int = LEAST_WORDS, whole_lines: bool = False) -> Iterator[tuple[int, int, str]]:
+    """(start, end, normalised text) of each unit; with whole_lines also of lines of any length and of whole sentences."""
+    seen = set()
+    for kind in (_UNIT, _SENTENCE, _LINE) if whole_lines else (_UNIT,):
+        for m in kind.finditer(text):
+            words = m[0].lower().split()
+            unit = " ".join(words)
+            if kind is _LINE or len(words) >= least_words or (whole_lines and len(unit) >= LEAST_CHARS):
+                if m.span() not in seen:
+                    yield *m.span(), unit
+                if whole_lines:
+                    seen.add(m.span())
+
+
+def units(docs: DataFrame, least_words: int = LEAST_WORDS, id_col: str = "doc_id", text_col: str = "text", whole_lines: bool = False) -> DataFrame:
+    """(doc_id, start, end, h1, h2) of each unit of places(); start and end in characters of the original text.
 
     A unit is normalised (lower case, runs of white space as one space) and known by a digest of 128 bits in two halves.
     """
@@ -30,13 +47,11 @@ def units(docs: DataFrame, least_words: int = LEAST_WORDS, id_col: str = "doc_id
         for batch in batches:
             ids, starts, ends, digests = [], [], [], []
             for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
-                for m in _UNIT.finditer(text):
-                    words = m[0].lower().split()
-                    if len(words) >= least_words:
-                        ids.append(doc)
-                        starts.append(m.start())
-                        ends.append(m.end())
-                        digests.append(hashlib.blake2b(" ".join(words).encode("utf-8", "replace"), digest_size=16).digest())
+                for start, end, unit in places(text, least_words, whole_lines):
+                    ids.append(doc)
+                    starts.append(start)
+                    ends.append(end)
+                    digests.append(hashlib.blake2b(unit.encode("utf-8", "replace"), digest_size=16).digest())
                 if len(ids) > 50_000:
                     yield _batch(ids, starts, ends, digests)
                     ids, starts, ends, digests = [], [], [], []
@@ -51,14 +66,14 @@ def _batch(ids: list, starts: list, ends: list, digests: list[bytes]) -> pa.Reco
     return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(starts, pa.int64()), pa.array(ends, pa.int64()), pa.array(halves[:, 0].copy()), pa.array(halves[:, 1].copy())], names=["doc_id", "start", "end", "h1", "h2"])
 
 
-def repeated_units(docs: DataFrame, least_words: int = LEAST_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def repeated_units(docs: DataFrame, least_words: int = LEAST_WORDS, id_col: str = "doc_id", text_col: str = "text", whole_lines: bool = False) -> DataFrame:
     """(doc_id, start, end) of units whose digest has an earlier place: a smaller doc_id, or an earlier start in the same one.
 
     Digests are counted with partial sums before they are shuffled, so a line that a third of all documents hold is one
     row a task; the join back splits such a digest's rows (adaptive skew join). A null doc_id ranks last. Rows that repeat
     an id are one document: their first place is the earliest start.
     """
-    rows = units(docs, least_words, id_col, text_col)
+    rows = units(docs, least_words, id_col, text_col, whole_lines)
     rank = F.coalesce("doc_id", F.lit((1 << 63) - 1))
     first = materialize(rows.groupBy("h1", "h2").agg(F.min(rank).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "digests")
     found = rows.join(first, ["h1", "h2"])
@@ -66,14 +81,21 @@ def repeated_units(docs: DataFrame, least_words: int = LEAST_WORDS, id_col: str
     return found.withColumn("turn", F.row_number().over(inside)).where((rank != F.col("first")) | (F.col("turn") > 1)).select("doc_id", "start", "end")
 
 
-def line_duplicates(docs: DataFrame, least_words: int = LEAST_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def line_duplicates(docs: DataFrame, least_words: int = LEAST_WORDS, id_col: str = "doc_id", text_col: str = "text", whole_lines: bool = False) -> DataFrame:
     """(doc_id, n_chars, n_removed, removed_chars, spans) for every row of docs.
 
-    spans: array of (start, end) of the removed units in characters of the original text, in order. Null and empty texts
+    spans: array of (start, end) of the removed units in characters of the original text, in order; units that overlap, as a
+    line and its sentences, are one span. whole_lines: repeated lines of any length go too, and long sentences of few words. Null and empty texts
     have none; an empty table gives no rows; extra columns are ignored; long texts are streamed unit by unit. Rows that
     repeat an id share its spans.
     """
-    gone = repeated_units(docs, least_words, id_col, text_col).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("spans"))
+    found = repeated_units(docs, least_words, id_col, text_col, whole_lines)
+    ahead = Window.partitionBy("doc_id").orderBy("start", F.desc("end"))
+    before = ahead.rowsBetween(Window.unboundedPreceding, -1)
+    apart = F.when(F.col("start") < F.max("end").over(before), 0).otherwise(1)
+    joined = found.withColumn("apart", apart).withColumn("span", F.sum("apart").over(ahead.rowsBetween(Window.unboundedPreceding, 0)))
+    joined = joined.groupBy("doc_id", "span").agg(F.min("start").alias("start"), F.max("end").alias("end"))
+    gone = joined.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("spans"))
     gone = materialize(gone.select(F.col("doc_id").alias("d"), "spans"), "spans")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.char_length(whole(text_col)).cast("long").alias("n_chars"))
     spans = F.coalesce("spans", F.array().cast("array<struct<start:bigint,end:bigint>>"))
@@ -91,4 +113,4 @@ def remove_spans(text: str, spans: list[tuple[int, int]]) -> str:
 
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Repeated lines and sentences of all documents."""
-    return line_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    return line_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), whole_lines=True)

@@ -249,6 +249,21 @@ def test_lines(docs, empty):
     assert line_dedup.remove_spans("abcdef", [(1, 2), (4, 9)]) == "acd"
 
 
+def test_whole_lines(spark, tmp_path):
+    wide = "這是一個重複出現的很長的段落沒有任何空格也沒有句點"
+    texts = {
+        1: f"Start.\nAll rights reserved.\n{wide}\nLicensed under CC BY-NC 4.0.\nA b. C d.\nSee J. R. Hobb at www.example.com today. One more.",
+        2: f"all  RIGHTS reserved.\nother text\n{wide}\n licensed under cc by-nc 4.0. \na b. c d.",
+        3: "Ok then. See J. R. Hobb at www.example.com today. No. Version 4.0.\nfirst," + (wide + "。") * 3,
+        4: None,
+    }
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: [texts[r["doc_id"]][s["start"] : s["end"]] for s in r["spans"]] for r in _rows(line_dedup.op6(spark, str(tmp_path)))}
+    assert got[1] == got[4] == []
+    assert got[2] == ["all  RIGHTS reserved.", wide, "licensed under cc by-nc 4.0.", "a b. c d."]
+    assert got[3] == ["See J. R. Hobb at www.example.com today.", wide + "。"]
+
+
 PII = "Call +1 (743) 555-3824 or mail ann.b@mail1.example.com, card 4465758382889437, host 10.0.0.255, not 10.0.0.256 nor 1234567890123456. Later: 1 (743) 555-3824 again."
 
 
