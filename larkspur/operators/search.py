@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 
 from ..functions.columns import capped, score_column, single_line, tier
 from ..functions.parse import Query, Term, parse
-from .streets import visible
+from .streets import visible, with_digits
 
 #: BM25 parameters, and the least weight of a term.
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
@@ -121,3 +121,60 @@ def short_queries(spark) -> DataFrame:
     bounded = lambda a, b: a.join(F.broadcast(b))  # noqa: E731  alphabets of fixed size
     parts = [letters.select(F.col("l").alias("q")), digits.select(F.col("d").alias("q")), bounded(letters, letters.select(F.col("l").alias("m"))).select(F.concat("l", "m").alias("q")), two.select(F.col("n").alias("q")), bounded(digits, letters).select(F.concat("d", F.lit(" "), "l").alias("q")), bounded(two, letters).select(F.concat("n", F.lit(" "), "l").alias("q"))]
     return reduce(DataFrame.unionByName, parts)
+
+
+def _best(rows: DataFrame, limit: int, keys: list[str], *order: Column) -> DataFrame:
+    """The first rows of each key with their place from 1."""
+    return rows.withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("place") <= limit)
+
+
+def precomputed(streets: DataFrame, entries: DataFrame, limit: int = MOST, threshold: int = 100) -> DataFrame:
+    """(q, kind, place, street_id, gnaf_pid, score, text): streets and addresses of every short query, the best `limit` of each.
+
+    Queries without a word or number left to search for, such as 'm', '1 m' or 'se', have no rows. A word is the beginning of
+    a street's name, locality or state; a number must fit the street's range. Words and tens make the joins equi-joins.
+    """
+    spark, queries = streets.sparkSession, []
+    for (q,) in short_queries(spark).collect():  # 3,672 of them
+        found = parse(q)
+        if found:
+            queries.append((q, found.words[0].lower(), found.street, found.numbers[0] if found.numbers else None))
+        elif q.isdigit():
+            queries.append((q, "", int(q), q))
+    asked = spark.createDataFrame(queries, "q string, word string, number int, token string")
+    keys = asked.select("word", "number", (F.col("number") / 10).cast("int").alias("ten")).distinct()
+
+    names = ("street_name", "locality_name", "state")
+    word = F.explode(F.array_distinct(F.array(F.lit(""), *[F.coalesce(F.lower(F.left(c, F.lit(k))), F.lit("")) for c in names for k in (1, 2)])))
+    begun = streets.select("street_id", "address_count", "num_min", "num_max", F.lower("street_name").alias("name"), word.alias("word"))
+    fits = begun.where("num_min <= 99 and num_max >= 0")
+    tens = F.explode(F.sequence((F.greatest("num_min", F.lit(0)) / 10).cast("int"), (F.least("num_max", F.lit(99)) / 10).cast("int")))
+    ranged = fits.where("num_min <= num_max").withColumn("ten", tens).join(F.broadcast(keys.where("number is not null")), ["word", "ten"]).where("number between num_min and num_max").drop("ten")
+    plain = begun.join(F.broadcast(keys.where("number is null").drop("ten")), "word")
+    exact = F.when(F.col("word") == "", 0).when(F.col("name") == F.col("word"), 115).when(F.col("name").startswith(F.col("word")), 10).otherwise(0)
+    points = F.when(F.col("word") == "", 0).otherwise(exact + tier(F.col("address_count")) + F.when(F.col("number").isNotNull(), 200).otherwise(0))
+    matched = plain.unionByName(ranged).withColumn("points", points)
+    best = _best(matched, max(30, 3 * limit), ["word", "number"], F.desc("points"), F.desc("address_count"), F.col("street_id"))
+    best = best.where(F.col("number").isNotNull() | (F.col("place") <= limit)).select(F.col("word").alias("_word"), F.col("number").alias("_number"), "street_id", "points", F.col("place").alias("street_rank"))
+    same = (F.col("_word") == F.col("word")) & F.col("_number").eqNullSafe(F.col("number"))
+    hits = best.join(F.broadcast(asked), same).drop("_word", "_number")
+    shown = streets.select("street_id", "street_key", "display", "street_name", "street_type_abbrev", "street_suffix_code", "locality_name", "state", "postcode")
+    hits = hits.join(shown, "street_id").persist()
+    listed = hits.where(F.col("street_rank") <= limit).select("q", F.lit("street").alias("kind"), F.col("street_rank").alias("place"), "street_id", F.lit(None).cast("string").alias("gnaf_pid"), F.col("points").alias("score"), F.col("display").alias("text"))
+
+    dealt = with_digits(entries, threshold)
+    least = dealt.groupBy("street_key").agg(F.min("digit").alias("least"))
+    rows = hits.join(dealt.join(least, "street_key"), "street_key")
+    hinted = F.col("least").isNull() | (F.col("digit") == F.left(F.col("number").cast("string"), F.lit(1)))
+    rows = rows.where(F.when(F.col("number").isNull(), F.col("digit").isNull() | (F.col("digit") == F.col("least"))).otherwise(hinted))
+    bare, unit = F.col("flat_number").isNull() & F.col("level_number").isNull(), F.coalesce("flat_number", "level_number")
+    first, within = F.col("number_first") == F.col("number"), F.col("number").between(F.col("number_first"), F.col("number_last"))
+    by_number = F.when(first, F.when(bare, 100).otherwise(90)).when(within, 50)
+    by_both = F.when(first | within, F.when(bare, 100).otherwise(90)).when(unit == F.col("number"), 80).when(F.col("display_prefix").contains(F.col("token")), 30)
+    value = F.when(F.col("number").isNull(), F.when(bare, 2).otherwise(1)).when(F.col("word") == "", by_number).otherwise(by_both)
+    order = [F.desc("score"), F.col("street_rank"), F.col("gnaf_pid")]
+    scored = rows.withColumn("score", value).where("score > 0")
+    turned = scored.withColumn("nth", F.row_number().over(Window.partitionBy("q", "street_id").orderBy(*order))).where(F.col("nth") <= limit)
+    turn = F.when((F.col("nth") > 1) & (F.col("number").isNull() | (F.col("word") == "")), 1).otherwise(0)
+    found = _best(turned.withColumn("turn", turn), limit, ["q"], F.col("turn"), *order)
+    return listed.unionByName(found.select("q", F.lit("address").alias("kind"), "place", "street_id", "gnaf_pid", "score", single_line().alias("text")))

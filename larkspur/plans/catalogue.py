@@ -141,6 +141,7 @@ CATALOGUE: dict[str, tuple[Query, str | None]] = {
     "search_words": (_search("small road nation"), None),
     "search_unit": (_search("unit 3 12 old pl"), None),
     "precomputed_two_letters": (_precompute, f"WITH {S}, p AS (SELECT street_id, address_count, street_name, unnest(list_distinct([lower(left(street_name, 2)), lower(left(locality_name, 2)), lower(left(state, 2))])) AS q FROM s), r AS (SELECT q, street_id, address_count, CASE WHEN lower(street_name) = q THEN 115 WHEN starts_with(lower(street_name), q) THEN 10 ELSE 0 END + {_TIER} AS score FROM p) SELECT q, street_id, score, CAST(row_number() OVER (PARTITION BY q ORDER BY score DESC, address_count DESC, street_id) AS int) AS place FROM r QUALIFY place <= 10"),
+    "precomputed_short_queries": (lambda s, d: search.precomputed(_streets(s, d), _entries(s, d), threshold=THRESHOLD), None),
     "short_query_universe": (lambda s, d: search.short_queries(s).where(is_short(F.col("q"))), "SELECT chr(CAST(97 + i AS int)) AS q FROM range(26) t(i) UNION ALL SELECT CAST(i AS varchar) FROM range(10) t(i) UNION ALL SELECT chr(CAST(97 + i AS int)) || chr(CAST(97 + j AS int)) FROM range(26) t(i), range(26) u(j) UNION ALL SELECT lpad(CAST(i AS varchar), 2, '0') FROM range(100) t(i) UNION ALL SELECT i || ' ' || chr(CAST(97 + j AS int)) FROM range(10) t(i), range(26) u(j) UNION ALL SELECT lpad(CAST(i AS varchar), 2, '0') || ' ' || chr(CAST(97 + j AS int)) FROM range(100) t(i), range(26) u(j)"),
     "normalised_queries": (lambda s, d: _queries_of(s, d).select("raw", normalise(F.col("raw")).alias("q")), f"SELECT raw, lower(regexp_replace(regexp_replace(trim(raw), '[^a-zA-Z0-9\\s]', '', 'g'), '\\s+', ' ', 'g')) AS q FROM ({_FORMAT})"),
     "query_tokens": (lambda s, d: _queries_of(s, d).select("raw", F.array_join(token_column(F.col("raw")), "|").alias("tokens")), f"SELECT raw, array_to_string(list_filter(list_transform(regexp_split_to_array(upper(raw), '[-\\s,/]+'), lambda x: regexp_replace(x, '[^A-Za-z0-9_]', '', 'g')), lambda x: x <> ''), '|') AS tokens FROM ({_FORMAT})"),

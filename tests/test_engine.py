@@ -43,3 +43,52 @@ def test_catalogue(spark, name):
     assert sorted(rel.columns) == columns
     expected = rel.select(*[duckdb.ColumnExpression(c) for c in columns]).fetchall()
     assert sorted(map(repr, map(tuple, df.select(*columns).collect()))) == sorted(map(repr, expected))
+
+
+def test_every_short_query_is_answered(spark):
+    from larkspur.functions.parse import parse, score
+    from larkspur.operators import search
+    from larkspur.plans.catalogue import _entries, _streets
+
+    limit, threshold = 4, 3
+    streets, entries = _streets(spark, DATA).persist(), _entries(spark, DATA).persist()
+    got = {}
+    for r in search.precomputed(streets, entries, limit, threshold).collect():
+        got.setdefault((r.q, r.kind), []).append((r.place, r.street_id, r.gnaf_pid, r.score))
+    rows, by_street = sorted(streets.collect(), key=lambda r: r.street_id), {}
+    for e in entries.collect():
+        by_street.setdefault(e.street_key, []).append(e)
+    universe = [r.q for r in search.short_queries(spark).collect()]
+    assert len(universe) == 3672 and {q for q, _ in got} <= set(universe)
+    digit = lambda e: None if e.number_first is None else str(e.number_first)[0]
+    for q in [*universe[:712], *universe[712:812], *universe[812::7], "1 m", "05 r", "5 r", "se"]:
+        p = parse(q)
+        number = p.street if p else int(q) if q.isdigit() else None
+        hits = []
+        for s in rows if p or q.isdigit() else []:
+            w = p.words[0] if p else ""
+            fits = number is None or (s.num_min is not None and s.num_min <= number <= s.num_max)
+            if fits and any((x or "").startswith(w) for x in (s.street_name, s.locality_name, s.state)):
+                points = 0 if not p else (115 if s.street_name == w else 10 if (s.street_name or "").startswith(w) else 0) + next((v for k, v in ((2000, 20), (500, 15), (100, 10), (20, 5)) if s.address_count >= k), 0) + (200 if number is not None else 0)
+                hits.append((-points, -s.address_count, s.street_id, s))
+        hits = sorted(hits, key=lambda h: h[:3])[: limit if number is None else 30]
+        assert sorted(got.get((q, "street"), [])) == [(i + 1, h[2], None, -h[0]) for i, h in enumerate(hits[:limit])], q
+        found = []
+        for rank, (*_, s) in enumerate(hits):
+            every = by_street[s.street_key]
+            split = len(every) > threshold and any(digit(e) for e in every)
+            least = min((digit(e) for e in every if digit(e)), default=None)
+            ranked = []
+            for e in every:
+                if split and not (digit(e) in (None, least) if number is None else digit(e) == str(number)[0]):
+                    continue
+                if p:
+                    v = score(dict(d=e.display_prefix, n=e.number_first, n2=e.number_last, f=e.flat_number, l=e.level_number), p)
+                else:
+                    bare = e.flat_number is None and e.level_number is None
+                    v = (100 if bare else 90) if e.number_first == number else 50 if None not in (e.number_first, e.number_last) and e.number_first <= number <= e.number_last else 0
+                if v:
+                    ranked.append((-v, rank, e.gnaf_pid, s.street_id))
+            found += [(int(k > 0 and not (p and p.numbers)), *x) for k, x in enumerate(sorted(ranked))]
+        assert sorted(got.get((q, "address"), [])) == [(i + 1, x[4], x[3], -x[1]) for i, x in enumerate(sorted(found)[:limit])], q
+    assert not any((q, k) in got for q in ("m", "1 m", "12 l", "se") for k in ("street", "address"))
