@@ -8,10 +8,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import materialize, release, whole
+from .shared import materialize, release, text_bytes, whole
 from .shingles import WIDTH, shingle_sets
 
 #: Two sets are linked if 100 * intersection >= PERCENT * union.
@@ -39,9 +39,11 @@ def _identity(hashes: np.ndarray) -> bytes:
 
 
 _SENT = "part int, chunk long, docs binary, sizes binary, marks binary, tokens binary, owners binary"
+#: One document of a chunk on its way: id, whether it has none, and a hash of its text that tells apart rows that repeat an id.
+_DOC = np.dtype([("id", "<i8"), ("none", "u1"), ("fit", "<i8")])
 
 
-def _send(chunk: int, parts: int, docs: list, sizes: list[int], marks: list[bytes], hashes: list[np.ndarray]) -> pa.RecordBatch:
+def _send(chunk: int, parts: int, docs: np.ndarray, sizes: list[int], marks: list[bytes], hashes: list[np.ndarray]) -> pa.RecordBatch:
     """One row a partition with the chunk's shingles there: those of one set with their owner, those of more once, unowned.
 
     The chunk's documents ride along on one of the rows.
@@ -61,145 +63,201 @@ def _send(chunk: int, parts: int, docs: list, sizes: list[int], marks: list[byte
     token = (((h >> np.uint64(32)) * np.uint64(parts)) & np.uint64(0xFFFFFFFF)).astype(np.uint32) ^ (h & np.uint64(0xFFFFFFFF)).astype(np.uint32)
     home = chunk % parts
     columns: list[list] = [[], [], [], [], [], [], []]
-    ids = np.array([-1 if d is None else d for d in docs], dtype=np.int64).tobytes()
     for p in range(parts):
         a, b = cuts[p], cuts[p + 1]
         at_home = p == home
-        for column, value in zip(columns, (p, chunk, ids if at_home else None, np.array(sizes, dtype=np.uint32).tobytes() if at_home else len(sizes).to_bytes(4, "little"), b"".join(marks) if at_home else None, token[a:b].tobytes(), owner[a:b].tobytes())):
+        for column, value in zip(columns, (p, chunk, docs.tobytes() if at_home else None, np.array(sizes, dtype=np.uint32).tobytes() if at_home else len(sizes).to_bytes(4, "little"), b"".join(marks) if at_home else None, token[a:b].tobytes(), owner[a:b].tobytes())):
             column.append(value)
     return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), pa.array(columns[1], pa.int64()), *(pa.array(c, pa.binary()) for c in columns[2:])], names=[x.split()[0] for x in _SENT.split(", ")])
 
 
 def _single(table: pa.Table) -> pa.Table:
     """For each chunk the count of shingles that no other set of any chunk has, by document."""
-    tokens = [np.frombuffer(x, np.uint32) for x in table.column("tokens").to_pylist()]
-    owners = [np.frombuffer(x, np.uint32) for x in table.column("owners").to_pylist()]
-    sizes = table.column("sizes").to_pylist()
-    docs = table.column("docs").to_pylist()
+    tokens, owners = ([np.frombuffer(x.as_buffer(), np.uint32) for x in table.column(c)] for c in ("tokens", "owners"))
+    docs, sizes = table.column("docs"), table.column("sizes")
     t = np.concatenate(tokens) if tokens else np.zeros(0, np.uint32)
-    order = np.argsort(t, kind="stable")
-    s = t[order]
-    alone = np.ones(len(s), dtype=bool)
-    alone[1:] &= s[1:] != s[:-1]
-    alone[:-1] &= s[1:] != s[:-1]
-    single = np.zeros(len(s), dtype=bool)
+    tokens.clear()
+    order = np.argsort(t).astype(np.uint32)
+    t = t[order]
+    alone = np.ones(len(t), dtype=bool)
+    alone[1:] &= t[1:] != t[:-1]
+    alone[:-1] &= t[1:] != t[:-1]
+    single = np.zeros(len(t), dtype=bool)
     single[order] = alone
+    del order, t, alone
     out, at = [], 0
     for k, own in enumerate(owners):
-        n = len(sizes[k]) // 4 if docs[k] is not None else int.from_bytes(sizes[k], "little")
+        here = docs[k].is_valid
+        n = len(sizes[k].as_buffer()) // 4 if here else int.from_bytes(sizes[k].as_py(), "little")
         mine = own[single[at : at + len(own)]]
         at += len(own)
         out.append(np.bincount(mine[mine != 0xFFFFFFFF], minlength=n).astype(np.uint32).tobytes())
-    keep = [s if d is not None else None for s, d in zip(sizes, docs)]
-    return pa.table({"chunk": table.column("chunk"), "docs": table.column("docs"), "sizes": pa.array(keep, pa.binary()), "marks": table.column("marks"), "single": pa.array(out, pa.binary())})
+    keep = [sizes[k].as_py() if docs[k].is_valid else None for k in range(len(out))]
+    return pa.table({"chunk": table.column("chunk"), "docs": docs, "sizes": pa.array(keep, pa.binary()), "marks": table.column("marks"), "single": pa.array(out, pa.binary())})
 
 
 def _sum(table: pa.Table) -> pa.Table:
     """The documents of one chunk with their counts from all partitions added up."""
     total = np.sum([np.frombuffer(x, np.uint32).astype(np.int64) for x in table.column("single").to_pylist()], axis=0)
-    k = next(i for i, d in enumerate(table.column("docs").to_pylist()) if d is not None)
+    k = next(i for i, d in enumerate(table.column("docs")) if d.is_valid)
     marks = table.column("marks")[k].as_py()
-    ids = np.frombuffer(table.column("docs")[k].as_py(), np.int64)
-    return pa.table({"id": pa.array(ids), "n": pa.array(np.frombuffer(table.column("sizes")[k].as_py(), np.uint32).astype(np.int64)), "mark": pa.array([marks[i : i + 16] for i in range(0, len(marks), 16)], pa.binary()), "single": pa.array(total)})
+    docs = np.frombuffer(table.column("docs")[k].as_py(), _DOC)
+    return pa.table({"id": pa.array(docs["id"].copy(), mask=docs["none"].astype(bool)), "fit": pa.array(docs["fit"].copy()), "n": pa.array(np.frombuffer(table.column("sizes")[k].as_py(), np.uint32).astype(np.int64)), "mark": pa.array([marks[i : i + 16] for i in range(0, len(marks), 16)], pa.binary()), "single": pa.array(total)})
 
 
 def _counted(sent: DataFrame) -> DataFrame:
     replies = sent.groupBy("part").applyInArrow(_single, "chunk long, docs binary, sizes binary, marks binary, single binary")
-    return replies.groupBy("chunk").applyInArrow(_sum, "id long, n long, mark binary, single long")
+    return replies.groupBy("chunk").applyInArrow(_sum, "id long, fit long, n long, mark binary, single long")
 
 
-def _chunks(sets: Iterator[tuple[list, np.ndarray, np.ndarray]], parts: int) -> Iterator[pa.RecordBatch]:
+def _chunks(sets: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]], parts: int) -> Iterator[pa.RecordBatch]:
     """Sets gathered into chunks and sent; a chunk's number is unique in the job."""
     base, turn = TaskContext.get().partitionId() << 32, 0
     docs, sizes, marks, hashes, held = [], [], [], [], 0
-    for ids, h, bounds in sets:
-        for i, doc in enumerate(ids):
+    for which, h, bounds in sets:
+        docs.append(which)
+        hashes.append(h)
+        for i in range(len(which)):
             mine = h[bounds[i] : bounds[i + 1]]
-            docs.append(doc)
             sizes.append(len(mine))
             marks.append(_identity(mine))
-        hashes.append(h)
         held += len(h)
         if held >= CHUNK:
-            yield _send(base + turn, parts, docs, sizes, marks, hashes)
+            yield _send(base + turn, parts, np.concatenate(docs), sizes, marks, hashes)
             docs, sizes, marks, hashes, held, turn = [], [], [], [], 0, turn + 1
-    if docs:
-        yield _send(base + turn, parts, docs, sizes, marks, hashes)
+    if sizes:
+        yield _send(base + turn, parts, np.concatenate(docs), sizes, marks, hashes)
+
+
+def _docs(id_: pa.Array, fit: pa.Array | None = None) -> np.ndarray:
+    out = np.zeros(len(id_), dtype=_DOC)
+    out["id"] = np.asarray(id_.fill_null(0))
+    out["none"] = np.asarray(id_.is_null().cast(pa.uint8()))
+    if fit is not None:
+        out["fit"] = np.asarray(fit)
+    return out
+
+
+#: Tokens of one node of the tree at most, so that a long unbranched path can be left halfway.
+RUN = 64
 
 
 class Trie:
     """Sets of integers in a global order as paths of a prefix tree, for overlap searches that share common beginnings.
 
-    The tree is kept level by level in arrays: each node's token, parent, and the least and greatest size of the sets below.
+    A stretch without branches is one node of up to RUN tokens. The tree is kept level by level in arrays: each node's
+    tokens, parent, depth, and the least and greatest size of the sets below.
     """
 
     def __init__(self, sets: list[np.ndarray], vocabulary: int):
         """sets: each in the global order, as ranks below `vocabulary` that ascend."""
+        self.mine = np.zeros(vocabulary, dtype=bool)
         keys = [s.astype(">i4").tobytes() for s in sets]
-        self.order = np.array(sorted(range(len(sets)), key=keys.__getitem__), dtype=np.int64)
-        self.vocabulary = vocabulary
-        sizes = np.array([len(sets[i]) for i in self.order])
-        shared = np.zeros(len(sets), dtype=np.int64)
-        for k in range(1, len(sets)):
-            a, b = sets[self.order[k - 1]], sets[self.order[k]]
-            m = min(len(a), len(b))
-            differ = np.flatnonzero(a[:m] != b[:m])
-            shared[k] = differ[0] if len(differ) else m
-        starts = np.concatenate([[0], np.cumsum(sizes)])[:-1]
-        flat = np.concatenate([sets[i] for i in self.order]) if len(sets) else np.zeros(0, np.int64)
-        self.levels = []
-        node = np.zeros(len(sets), dtype=np.int64)
-        for depth in range(int(sizes.max(initial=0))):
-            alive = np.flatnonzero(sizes > depth)
-            first = np.flatnonzero(shared[alive] <= depth)
-            first = np.union1d([0], first)
-            own = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(alive))))
-            parent = node[alive[first]]
-            ends = sizes[alive] == depth + 1
-            self.levels.append((flat[starts[alive[first]] + depth], parent, np.minimum.reduceat(sizes[alive], first), np.maximum.reduceat(sizes[alive], first), self.order[alive[ends]], own[ends]))
-            node[alive] = own
+        order = sorted(range(len(sets)), key=keys.__getitem__)
+        begin, end, source, up, members = [0], [0], [0], [-1], {}
+        stack = [0]
+
+        def node(a: int, b: int, of: int, parent: int) -> int:
+            begin.append(a)
+            end.append(b)
+            source.append(of)
+            up.append(parent)
+            return len(up) - 1
+
+        for k, i in enumerate(order):
+            size, shared = len(sets[i]), 0
+            if k:
+                before = sets[order[k - 1]]
+                m = min(size, len(before))
+                differ = np.flatnonzero(sets[i][:m] != before[:m])
+                shared = int(differ[0]) if len(differ) else m
+            last = 0
+            while end[stack[-1]] > shared:
+                last = stack.pop()
+            if end[stack[-1]] < shared:
+                fork = node(end[stack[-1]], shared, source[last], stack[-1])
+                begin[last], up[last] = shared, fork
+                stack.append(fork)
+            if size > shared:
+                stack.append(node(shared, size, i, stack[-1]))
+            members.setdefault(stack[-1], []).append(i)
+        for x in range(1, len(up)):  # long nodes become chains
+            while end[x] - begin[x] > RUN:
+                up[x] = node(begin[x], begin[x] + RUN, source[x], up[x])
+                begin[x] += RUN
+        low, high = [1 << 60] * len(up), [-1] * len(up)
+        depth = [-1] * len(up)
+        depth[0] = 0
+        for x in range(len(up)):
+            path = []
+            while depth[x] < 0:
+                path.append(x)
+                x = up[x]
+            for y in reversed(path):
+                depth[y] = depth[up[y]] + 1
+        by_depth = sorted(range(len(up)), key=depth.__getitem__)
+        for x in reversed(by_depth):
+            if x in members:
+                low[x], high[x] = min(low[x], end[x]), max(high[x], end[x])
+            if x:
+                low[up[x]], high[up[x]] = min(low[up[x]], low[x]), max(high[up[x]], high[x])
+        place = {x: k for k, x in enumerate(by_depth)}
+        spans = [sets[source[x]][begin[x] : end[x]] for x in by_depth]
+        lengths = np.array([len(t) for t in spans], dtype=np.int64)
+        self.tokens = np.concatenate(spans) if len(sets) else np.zeros(0, np.int64)
+        self.ends = np.cumsum(lengths)
+        self.starts = self.ends - lengths
+        self.parent = np.array([place.get(up[x], 0) for x in by_depth], dtype=np.int64)
+        self.low, self.high, self.deep = (np.array([v[x] for x in by_depth], dtype=np.int64) for v in (low, high, end))
+        at = np.array([depth[x] for x in by_depth])
+        self.levels = np.searchsorted(at, np.arange(1, int(at[-1]) + 2))
+        held = [(place[x], i) for x, mine in members.items() for i in mine]
+        held.sort()
+        self.holder, self.member = (np.array([h[k] for h in held], dtype=np.int64) for k in (0, 1))
 
     def search(self, probe: np.ndarray, percent: int) -> np.ndarray:
         """Members linked with the probe. A subtree is left when the shingles still to come, on its longest path or in the
         probe, can't lift the overlap that all its paths share to what the shortest of them needs."""
         n = len(probe)
-        mine = np.zeros(self.vocabulary, dtype=bool)
-        mine[probe] = True
-        found = []
-        alive, overlap = np.ones(1, dtype=bool), np.zeros(1, dtype=np.int64)
-        for depth, (token, parent, short, long, members, at) in enumerate(self.levels):
-            keep = np.flatnonzero(alive[parent])
+        self.mine[probe] = True
+        alive, overlap = np.zeros(len(self.parent), dtype=bool), np.zeros(len(self.parent), dtype=np.int64)
+        alive[0] = True
+        least = -(-percent * n // 100)
+        for a, b in zip(self.levels, self.levels[1:]):
+            keep = a + np.flatnonzero(alive[self.parent[a:b]])
             if not len(keep):
                 break
-            t, lo, hi = token[keep], short[keep], long[keep]
-            have = overlap[parent[keep]] + mine[t]
-            need = -(-percent * (n + np.maximum(lo, -(-percent * n // 100))) // (100 + percent))
-            live = (100 * n >= percent * lo) & (100 * hi >= percent * n) & (have + np.minimum(hi - depth - 1, n - np.searchsorted(probe, t, side="right")) >= need)
-            alive = np.zeros(len(token), dtype=bool)
-            alive[keep[live]] = True
-            overlap = np.zeros(len(token), dtype=np.int64)
+            long = self.ends[keep] - self.starts[keep]
+            first = np.cumsum(long) - long
+            which = np.repeat(self.starts[keep] - first, long) + np.arange(int(long.sum()))
+            have = overlap[self.parent[keep]] + np.add.reduceat(self.mine[self.tokens[which]].astype(np.int64), first)
+            lo, hi = self.low[keep], self.high[keep]
+            need = -(-percent * (n + np.maximum(lo, least)) // (100 + percent))
+            to_come = np.minimum(hi - self.deep[keep], n - np.searchsorted(probe, self.tokens[self.ends[keep] - 1], side="right"))
+            alive[keep] = (100 * n >= percent * lo) & (hi >= least) & (have + to_come >= need)
             overlap[keep] = have
-            if len(members):
-                linked = alive[at] & (100 * overlap[at] >= percent * (n + depth + 1 - overlap[at]))
-                found.append(members[linked])
-        return np.concatenate(found) if found else np.zeros(0, dtype=np.int64)
+        self.mine[probe] = False
+        have, size = overlap[self.holder], self.deep[self.holder]
+        return self.member[alive[self.holder] & (100 * have >= percent * (n + size - have))]
 
 
-def join_block(nodes: np.ndarray, sets: list[np.ndarray], percent: int = PERCENT) -> list[tuple[int, int]]:
+def join_block(nodes: np.ndarray, sets: list[np.ndarray], percent: int = PERCENT, probes: int | None = None) -> list[tuple[int, int]]:
     """(node, root) for nodes that links within the block connect; the root is the smallest node reached.
 
     All sets go into one prefix tree, rarest shingles first. Each set in turn that nothing reaches yet is searched, which
     settles groups of copies in few searches. If several classes are left, each set outside the largest is searched too, so
-    no link is lost.
+    no link is lost. probes: if given, the first so many sets are searched, and only their links are wanted.
     """
     m = len(sets)
     sizes = np.array([len(s) for s in sets])
     values, inverse, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    rank = np.empty(len(values), dtype=np.int64)
+    rank = np.empty(len(values), dtype=np.int32)
     rank[np.lexsort((values, times))] = np.arange(len(values))
     bounds = np.concatenate([[0], np.cumsum(sizes)])
-    ordered = [np.sort(rank[inverse[a:b]]) for a, b in zip(bounds, bounds[1:])]
-    trie = Trie(ordered, len(values))
+    ranked = rank[inverse]
+    del values, inverse, times
+    ordered = [np.sort(ranked[a:b]) for a, b in zip(bounds, bounds[1:])]
+    trie = Trie(ordered, len(rank))
     label = np.arange(m)
     reached = np.zeros(m, dtype=bool)
     searched = np.zeros(m, dtype=bool)
@@ -211,21 +269,23 @@ def join_block(nodes: np.ndarray, sets: list[np.ndarray], percent: int = PERCENT
         if len(found) > 1:
             label[np.isin(label, found)] = found[0]
 
-    for i in range(m):
-        if not reached[i]:
+    for i in range(m if probes is None else probes):
+        if probes is not None or not reached[i]:
             search(i)
-    classes, counts = np.unique(label, return_counts=True)
-    for i in np.flatnonzero((label != classes[np.argmax(counts)]) & ~searched) if len(classes) > 1 else ():
-        search(i)
-    out = []
-    for c in np.unique(label):
-        mine = np.sort(nodes[label == c])
-        out += [(int(x), int(mine[0])) for x in mine[1:]]
-    return out
+    if probes is None:
+        classes, counts = np.unique(label, return_counts=True)
+        for i in np.flatnonzero((label != classes[np.argmax(counts)]) & ~searched) if len(classes) > 1 else ():
+            search(i)
+    order = np.lexsort((nodes, label))
+    first = np.ones(m, dtype=bool)
+    first[1:] = label[order][1:] != label[order][:-1]
+    root = nodes[order][first][np.cumsum(first) - 1]
+    other = nodes[order] != root
+    return list(zip(nodes[order][other].tolist(), root[other].tolist()))
 
 
 #: Up to so many edges are finished in one task of an executor; more are contracted by rounds over the cluster first.
-FEW_EDGES = 1_000_000
+FEW_EDGES = 300_000
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -269,118 +329,157 @@ def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([root(x) for x in nodes], pa.int64())], names=["node", "root"])
 
 
-#: Cells of the table of rough counts (a byte each when sent to the tasks), and shingles of one block of a large candidate group.
-CELLS, BLOCK_SHINGLES = 1 << 22, 2_000_000
+#: Cells of the table of rough counts (a byte each when sent to the tasks), and shingles that one task of the join holds.
+CELLS, BLOCK_SHINGLES = 1 << 22, 1_000_000
 _SEGMENTS = 64
 
 
 def _rough_counts(sets: DataFrame) -> np.ndarray:
-    """For each cell (the top bits of a shingle) the logarithm of how often its shingles occur, in CELLS bytes whatever the input."""
+    """For each cell (the top bits of a shingle) the logarithm of how often its shingles occur, in CELLS bytes whatever the input.
+
+    A task sends only the cells it has met, so what is shuffled is no more than the sets themselves.
+    """
     each = CELLS // _SEGMENTS
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(CELLS, dtype=np.int64)
+        total = np.zeros(CELLS, dtype=np.uint32)
         for batch in batches:
             for x in batch.column("tokens").to_pylist():
                 np.add.at(total, (np.frombuffer(x, np.uint64) >> np.uint64(42)).astype(np.int64), 1)
-        yield pa.RecordBatch.from_arrays([pa.array(range(_SEGMENTS), pa.int32()), pa.array([total[k * each : (k + 1) * each].tobytes() for k in range(_SEGMENTS)], pa.binary())], names=["segment", "counts"])
+        met = np.flatnonzero(total).astype(np.uint32)
+        cuts = np.searchsorted(met, np.arange(_SEGMENTS + 1) * each)
+        rows = [(k, met[a:b].tobytes(), total[met[a:b]].tobytes()) for k, (a, b) in enumerate(zip(cuts, cuts[1:])) if b > a]
+        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), *(pa.array([r[c] for r in rows], pa.binary()) for c in (1, 2))], names=["segment", "cells", "counts"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
-            for k, x in zip(batch.column("segment").to_pylist(), batch.column("counts").to_pylist()):
-                values = np.frombuffer(x, np.int64)
-                sums[k] = sums[k] + values if k in sums else values
+            for k, cells, counts in zip(*(batch.column(c).to_pylist() for c in ("segment", "cells", "counts"))):
+                sums.setdefault(k, np.zeros(each, dtype=np.int64))[np.frombuffer(cells, np.uint32) - k * each] += np.frombuffer(counts, np.uint32)
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([np.log2(v + 1).astype(np.uint8).tobytes() for v in sums.values()], pa.binary())], names=["segment", "counts"])
 
-    summed = sets.select("tokens").mapInArrow(count, "segment int, counts binary").repartition(_SEGMENTS, "segment").mapInArrow(add, "segment int, counts binary")
-    return np.frombuffer(b"".join(r["counts"] for r in sorted(summed.collect(), key=lambda r: r["segment"])), dtype=np.uint8)
+    summed = sets.select("tokens").mapInArrow(count, "segment int, cells binary, counts binary").repartition(_SEGMENTS, "segment").mapInArrow(add, "segment int, counts binary")
+    out = np.zeros(CELLS, dtype=np.uint8)
+    for r in summed.collect():
+        out[r["segment"] * each : (r["segment"] + 1) * each] = np.frombuffer(r["counts"], np.uint8)
+    return out
 
 
-def _candidates(sets: DataFrame, percent: int) -> DataFrame:
-    """(node, root): groups of sets that share a shingle of their prefixes, directly or through others.
+def _members(sets: DataFrame, percent: int) -> DataFrame:
+    """(node, hub, n): sets that may be linked meet at a hub, the least node that has a shingle of both their prefixes.
 
-    A set's prefix has so many of its rarest shingles that two linked sets share one of them. Order: rough count, then hash.
+    A set's prefix has so many of its rarest shingles that two linked sets share one of them (order: rough count, then
+    hash); so both are members of that shingle's hub. A hub's group reaches one step only: groups overlap, but don't chain.
     """
     code = sets.sparkSession.sparkContext.broadcast(_rough_counts(sets))
 
     def prefix(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            nodes, tokens = [], []
+            nodes, tokens, sizes = [], [], []
             for node, x in zip(batch.column("node").to_pylist(), batch.column("tokens").to_pylist()):
                 h = np.frombuffer(x, np.uint64)
-                keep = len(h) - -(-percent * len(h) // 100) + 1
+                n = len(h)
+                keep = n - -(-percent * n // 100) + 1
                 h = h[np.lexsort((h, code.value[(h >> np.uint64(42)).astype(np.int64)]))][:keep]
                 nodes.append(np.full(len(h), node))
+                sizes.append(np.full(len(h), n))
                 tokens.append(h.view(np.int64))
             if nodes:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(nodes)), pa.array(np.concatenate(tokens))], names=["node", "token"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (nodes, tokens, sizes)], names=["node", "token", "n"])
 
-    rows = materialize(sets.mapInArrow(prefix, "node long, token long"), "prefixes", "snappy")
+    rows = materialize(sets.mapInArrow(prefix, "node long, token long, n long"), "prefixes", "snappy")
     hubs = rows.groupBy("token").agg(F.min("node").alias("hub"), F.max("node").alias("last")).where("hub < last").select("token", "hub")
-    out = components(rows.join(hubs, "token").select(F.col("node").alias("a"), F.col("hub").alias("b")))
+    out = materialize(rows.join(hubs, "token").select("node", "hub", "n").distinct(), "members")
+    release(rows)
     return out
 
 
-def _joined(sets: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
-    """(a, b) links that connect what is linked within each candidate group.
+def _band(n: str, percent: int) -> Column:
+    """Two linked sets are in the same or in neighbouring bands of sizes."""
+    return F.floor(F.log(F.col(n).cast("double")) / F.log(F.lit(100 / percent)) + 1e-9).cast("int")
 
-    Small groups are bundled; one with more than BLOCK_SHINGLES shingles is cut into blocks, and every two of them meet in
-    a task of their own, so no task gets an unbounded group.
+
+def _joined(sets: DataFrame, members: DataFrame, percent: int) -> DataFrame:
+    """(a, b) links that connect what is linked among the members of each hub.
+
+    Small groups are bundled. One with more than BLOCK_SHINGLES shingles is dealt by bands of set sizes and then by hash
+    into blocks, and its hub joins each of them: a large group of near copies is connected through its hub at once. What
+    is not connected with its hub by then is searched in the blocks of its own and the neighbouring bands, so no link is
+    lost, no task gets an unbounded group, and blocks don't meet in pairs.
     """
-    placed = materialize(sets.join(groups, "node"), "grouped")
-    weight = placed.groupBy("root").agg(F.sum("n").alias("weight"))
-    blocks = F.ceil(F.col("weight") / F.lit(BLOCK_SHINGLES)).cast("int")
-    total = placed.agg(F.sum("n")).first()[0] or 0
-    bundles = max(1, -(-total // (BLOCK_SHINGLES // 4)))
-    sized = placed.join(weight.select("root", blocks.alias("blocks")), "root").withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    others = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least(o, F.col("mine")).alias("i"), F.greatest(o, F.col("mine")).alias("j")))
-    dealt = sized.select("node", "root", "tokens", "blocks", F.inline(others)).where("i < j or blocks = 1")
-    task = F.when(F.col("blocks") == 1, F.struct(F.pmod(F.xxhash64("root"), F.lit(bundles)).alias("g"), F.lit(-1).alias("i"), F.lit(-1).alias("j"))).otherwise(F.struct(F.col("root").alias("g"), "i", "j"))
+    weight = members.groupBy("hub").agg(F.sum("n").alias("weight"))
+    heavy = materialize(weight.where(F.col("weight") > BLOCK_SHINGLES).select("hub"), "heavy")
+    total = members.agg(F.sum("n")).first()[0] or 0
+    bundles = max(1, -(-total // (BLOCK_SHINGLES // 2)))
+    light = members.join(heavy, "hub", "left_anti").select("node", F.pmod(F.xxhash64("hub"), F.lit(bundles)).cast("long").alias("g"), F.lit(-1).alias("band"), F.lit(-1).alias("sub"), "hub", F.lit(False).alias("probe"))
+    if heavy.isEmpty():
+        return _run(sets, light, percent)
+    large = members.join(heavy, "hub").withColumn("band", _band("n", percent))
+    slots = materialize(large.groupBy("hub", "band").agg(F.ceil(F.sum("n") / F.lit(BLOCK_SHINGLES)).cast("int").alias("subs")), "slots")
+    placed = large.join(slots, ["hub", "band"]).select("node", F.col("hub").alias("g"), "band", F.pmod(F.xxhash64("node"), F.col("subs")).cast("int").alias("sub"), "hub", F.lit(False).alias("probe"))
+    everywhere = slots.select(F.col("hub").alias("node"), F.col("hub").alias("g"), "band", F.explode(F.sequence(F.lit(0), F.col("subs") - 1)).alias("sub"), "hub", F.lit(False).alias("probe"))
+    first = materialize(_run(sets, light.unionByName(placed).unionByName(everywhere), percent), "links")
+    label = materialize(components(first), "labels")
+    of = lambda c, name: label.select(F.col("node").alias(c), F.col("root").alias(name))
+    apart = large.join(of("node", "own"), "node", "left").join(of("hub", "its"), "hub", "left").where(F.coalesce("own", "node") != F.coalesce("its", "hub")).select("node", "hub", "band")
+    near = apart.select("node", "hub", F.explode(F.array(F.col("band") - 1, "band", F.col("band") + 1)).alias("band"))
+    asked = near.join(slots, ["hub", "band"]).select("node", F.col("hub").alias("g"), "band", F.explode(F.sequence(F.lit(0), F.col("subs") - 1)).alias("sub"), "hub", F.lit(True).alias("probe"))
+    met = asked.select("g", "band", "sub").distinct()
+    again = placed.join(met, ["g", "band", "sub"], "left_semi").unionByName(asked)
+    return first.unionByName(_run(sets, again, percent))
+
+
+def _run(sets: DataFrame, tasks: DataFrame, percent: int) -> DataFrame:
+    """Links within each group of each task; a group with probes is searched for their links only."""
 
     def run(table: pa.Table) -> pa.Table:
-        root, node = table.column("root").to_numpy(), table.column("node").to_numpy()
+        hub, node, probe = (np.asarray(table.column(c)) for c in ("hub", "node", "probe"))
         tokens = table.column("tokens")
-        order = np.lexsort((node, root))
+        order = np.lexsort((~probe, node, hub))
         left, right = [], []
-        edges = [0, *(np.flatnonzero(np.diff(root[order])) + 1).tolist(), len(order)]
+        edges = [0, *(np.flatnonzero(np.diff(hub[order])) + 1).tolist(), len(order)]
         for a, b in zip(edges, edges[1:]):
             mine = order[a:b]
-            keep = np.concatenate([[True], np.diff(node[mine]) != 0]) if len(mine) else []
-            mine = mine[keep]
-            for x, y in join_block(node[mine], [np.frombuffer(tokens[int(i)].as_py(), np.uint64) for i in mine], percent):
+            mine = mine[np.concatenate([[True], np.diff(node[mine]) != 0])] if len(mine) else mine
+            mine = mine[np.argsort(~probe[mine], kind="stable")]
+            asked = int(probe[mine].sum())
+            for x, y in join_block(node[mine], [np.frombuffer(tokens[int(i)].as_buffer(), np.uint64) for i in mine], percent, asked or None):
                 left.append(x)
                 right.append(y)
         return pa.table({"a": pa.array(left, pa.int64()), "b": pa.array(right, pa.int64())})
 
-    return dealt.select(task.alias("task"), "node", "root", "tokens").groupBy("task").applyInArrow(run, "a long, b long")
+    dealt = tasks.join(sets.select("node", "tokens"), "node").select("g", "band", "sub", "node", "hub", "probe", "tokens")
+    return dealt.groupBy("g", "band", "sub").applyInArrow(run, "a long, b long")
+
+
+#: Bytes of text whose shingles meet in one partition of the count.
+PART_BYTES = 16 << 20
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row of docs.
 
     1. Each shingle is sent once a chunk to the partition of its hash, which answers how many of each set no other set
-    has. More than the part that may differ: the set is linked with nothing, and done. 2. Equal sets become one class.
-    3. Sets of the classes left are joined within groups that share a rare shingle, by prefix trees. 4. Classes that links
-    connect get the smallest doc_id of their rows.
+    has. More than the part that may differ: the set is linked with nothing, and done. The number of partitions follows
+    the bytes of text, so none grows with the input. 2. Equal sets become one class. 3. Sets of the classes left are joined
+    within the groups of hubs, each a prefix tree. 4. Classes that links connect get the smallest doc_id of their rows.
 
     Null, empty and blank texts have no shingles and are linked with nothing: they are their own component. A null doc_id
     never becomes a component's id unless all its rows have none. Rows that repeat an id are separate texts. Extra columns
-    are ignored; an empty table gives no rows.
+    are ignored; an empty table gives no rows. Shingles are compared as 64-bit hashes.
     """
-    spark = docs.sparkSession
-    parts = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    none = (1 << 63) - 1
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(none)).alias("id"), whole(text_col).alias("text"))
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), whole(text_col).alias("text")).select("id", "text", F.xxhash64("text").alias("fit"))
+    parts = max(8, -(-text_bytes(docs, text_col) // PART_BYTES))
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from _chunks(((b.column("id").to_pylist(), h, at) for b, h, at in _sets(batches, width)), parts)
+        yield from _chunks(((_docs(b.column("id"), b.column("fit")), h, at) for b, h, at in _sets(batches, width)), parts)
 
     counted = materialize(_counted(rows.mapInArrow(send, _SENT)), "counted")
     spare = 100 - percent
     open_ = counted.where((F.col("n") > 0) & (100 * F.col("single") <= spare * F.col("n")))
-    classes = open_.groupBy("mark").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("rows"))
-    classes = materialize(classes.select("mark", "first", F.monotonically_increasing_id().alias("node")), "classes")
+    least = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "fit"))
+    classes = open_.groupBy("mark").agg(least.alias("first"))
+    classes = materialize(classes.select("mark", "first.id", "first.fit", F.monotonically_increasing_id().alias("node")), "classes")
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b, h, at in _sets(batches, width):
@@ -392,26 +491,33 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH,
                         column.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(found[0], pa.int64()), pa.array(found[1], pa.int64()), pa.array(found[2], pa.binary())], names=["node", "n", "tokens"])
 
-    texts = rows.join(classes.select(F.col("first").alias("id"), "mark", "node"), "id")
-    sets = materialize(texts.select("text", "mark", "node").mapInArrow(extract, "node long, n long, tokens binary"), "sets", "snappy")
+    # rows that repeat both id and text match a class each: one of them is enough
+    key = classes.select(F.col("id").alias("i"), F.col("fit").alias("f"), "mark", "node")
+    texts = rows.join(key.hint("merge"), F.col("id").eqNullSafe(F.col("i")) & (F.col("fit") == F.col("f")))
+    found = materialize(texts.select("text", "mark", "node").mapInArrow(extract, "node long, n long, tokens binary"), "found", "snappy")
 
     def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def each() -> Iterator[tuple[list, np.ndarray, np.ndarray]]:
+        def each() -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
             for b in batches:
                 x = b.column("tokens").to_pylist()
-                yield b.column("node").to_pylist(), np.frombuffer(b"".join(x), np.uint64), np.concatenate([[0], np.cumsum([len(t) // 8 for t in x])])
+                yield _docs(b.column("node")), np.frombuffer(b"".join(x), np.uint64), np.concatenate([[0], np.cumsum([len(t) // 8 for t in x])])
 
         yield from _chunks(each(), parts)
 
-    left = _counted(sets.mapInArrow(again, _SENT)).where(100 * F.col("single") <= spare * F.col("n")).select(F.col("id").alias("node")).distinct()
-    sets = materialize(sets.join(left, "node", "left_semi"), "sets", "snappy")
-    linked = components(_joined(sets, _candidates(sets, percent), percent))
-    named = classes.join(linked, "node", "left").select("mark", "first", F.coalesce("root", "node").alias("root"))
-    smallest = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    of = materialize(named.join(smallest, "root").select("mark", "component_id"), "classes-of")
-    out = counted.join(of, "mark", "left").select("id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
-    back = lambda c: F.nullif(F.col(c), F.lit(none))
-    return out.select(back("id").alias("doc_id"), "n_shingles", back("component_id").alias("component_id"))
+    unique = found.dropDuplicates(["node"])
+    sent = materialize(unique, "sets", "snappy")
+    release(found)
+    left = _counted(sent.mapInArrow(again, _SENT)).where(100 * F.col("single") <= spare * F.col("n")).select(F.col("id").alias("node"))
+    sets = materialize(sent.join(left, "node", "left_semi"), "sets", "snappy")
+    release(sent)
+    links = materialize(_joined(sets, _members(sets, percent), percent), "links")
+    release(sets)
+    linked = components(links)
+    named = classes.join(linked, "node", "left").select("mark", "id", F.coalesce("root", "node").alias("root"))
+    smallest = named.groupBy("root").agg(F.min("id").alias("component_id"))
+    of = materialize(named.join(smallest, "root").select("mark", "component_id", F.lit(True).alias("known")), "classes-of")
+    out = counted.join(of, "mark", "left")
+    return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("known"), F.col("component_id")).otherwise(F.col("id")).alias("component_id"))
 
 
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:

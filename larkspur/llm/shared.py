@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,7 +14,9 @@ def scratch_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset (tests)."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = "file:///tmp/checkpoints"
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = "file:///tmp/checkpoints"  # driver and executors are one process here
     return f"{base.rstrip('/')}/larkspur/{spark.sparkContext.applicationId}"
 
 
@@ -49,6 +52,11 @@ def whole(text: str = "text") -> Column:
     return F.coalesce(F.col(text).cast("string"), F.lit(""))
 
 
+def text_bytes(docs: DataFrame, text: str = "text") -> int:
+    """UTF-8 bytes of all texts: one sum a task reaches the driver."""
+    return int(docs.agg(F.sum(F.octet_length(F.col(text).cast("string")).cast("long"))).first()[0] or 0)
+
+
 #: Bound on the ranges that gapless_rank() collects statistics for, above the number of classes.
 RANK_CELLS = 1 << 14
 
