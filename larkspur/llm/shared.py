@@ -57,6 +57,17 @@ def text_bytes(docs: DataFrame, text: str = "text") -> int:
     return int(docs.agg(F.sum(F.octet_length(F.col(text).cast("string")).cast("long"))).first()[0] or 0)
 
 
+#: Bytes of texts that one Arrow batch holds at most, beside its last row.
+BATCH_BYTES = 4 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """From now on the session sends texts to Python in batches of at most BATCH_BYTES; a bound on memory, no result depends on it."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark.conf.get(name, "67108864b").rstrip("b")) > BATCH_BYTES:
+        spark.conf.set(name, f"{BATCH_BYTES}b")
+
+
 #: Bound on the ranges that gapless_rank() collects statistics for, above the number of classes.
 RANK_CELLS = 1 << 14
 
