@@ -72,7 +72,7 @@ def suffixes(data: np.ndarray, bounds: np.ndarray, length: int = LENGTH, gram: i
     first = start[new]
     last = start[np.concatenate([np.flatnonzero(new)[1:] - 1, [len(start) - 1]])]
     mark = mark[new]
-    return text[first], first, last, key[mark], hash_of(sums, first, last + length)
+    return text[first], first, last, mix(key[mark] ^ _ODD), hash_of(sums, first, last + length)  # mixed, as least hashes are small ones
 
 
 def buffer_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
