@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import whole
+from .shared import bounded_batches, whole
 
 KINDS = ("email", "ip", "card", "phone")
 #: The base patterns.
@@ -22,8 +22,8 @@ PATTERNS = {
     "phone": re.compile(r"\+[0-9][\x20().0-9-]+[0-9]"),
 }
 LABELS = ("other", *KINDS)
-#: At most so many documents (those with the least hash of their id) train the field; a documented bound.
-TRAIN_DOCS = 2000
+#: The field is trained on the nodes of all documents, as counts of distinct patterns; at most so many patterns, the most frequent.
+PATTERNS_KEPT = 20_000
 #: A node is labelled if its belief reaches this.
 BELIEF = 0.9
 _ANY = re.compile(r"[0-9@]")
@@ -106,43 +106,74 @@ def _graph(text: str) -> tuple[list[tuple[int, int]], np.ndarray, list[tuple[int
     return nodes, np.array([_features(text, a, b) for a, b in nodes], dtype=float).reshape(len(nodes), 18), edges
 
 
-def _targets(nodes: list[tuple[int, int]], base: list[tuple[int, int, str]]) -> list[int]:
-    """Weak labels: the kind of a base span that overlaps the node by half of either, else other."""
+def _targets(text: str, nodes: list[tuple[int, int]], base: list[tuple[int, int, str]]) -> list[int]:
+    """Weak labels: the kind of a base span that overlaps the node by half of either.
+
+    A node that no base span covers but which looks like one (a card number that fails its checksum, a phone number without
+    the plus sign, an address without a dot) has no label, -1: there the field decides. Others are none of the kinds.
+    """
     out = []
     for a, b in nodes:
         best = 0
         for x, y, kind in base:
             if min(b, y) - max(a, x) > 0.5 * min(b - a, y - x):
                 best = LABELS.index(kind)
+        s = text[a:b]
+        digits = sum("0" <= c <= "9" for c in s)
+        if not best and ("@" in s[1:-1] or 14 <= digits <= 19 or 10 <= digits <= 15 and len(s) > digits and "." not in s):
+            best = -1
         out.append(best)
     return out
 
 
-def train(texts: list[str], steps: int = 300, rate: float = 0.5, decay: float = 1e-3) -> tuple[np.ndarray, np.ndarray]:
-    """(node weights, weights of agreement on the two kinds of edge) by pseudo-likelihood, labels from the base patterns."""
-    rows, around, labels = [], [], []
+_FEATURES = 18
+
+
+def patterns(texts: Iterator[str | None]) -> dict[tuple[int, int, int], int]:
+    """How often each (features as bits, labels of the neighbours by kind of edge as digits, weak label) occurs among labelled nodes."""
+    out: dict[tuple[int, int, int], int] = {}
     for text in texts:
+        if not text or not _ANY.search(text):
+            continue
         nodes, features, edges = _graph(text)
-        y = _targets(nodes, base_spans(text))
-        near = np.zeros((len(nodes), 2, len(LABELS)))
+        y = _targets(text, nodes, base_spans(text))
+        near = [0] * len(nodes)
         for i, j, kind in edges:
-            near[i, kind, y[j]] += 1
-            near[j, kind, y[i]] += 1
-        rows.append(features)
-        around.append(near)
-        labels += y
-    weights, agree = np.zeros((len(LABELS), 18)), np.zeros(2)
-    if not labels:
+            if y[j] >= 0:
+                near[i] += 8 ** (kind * len(LABELS) + y[j])
+            if y[i] >= 0:
+                near[j] += 8 ** (kind * len(LABELS) + y[i])
+        bits = (features.astype(np.int64) << np.arange(_FEATURES)).sum(axis=1).tolist() if nodes else []
+        for key in zip(bits, near, y):
+            if key[2] >= 0:
+                out[key] = out.get(key, 0) + 1
+    return out
+
+
+def train(counts: dict[tuple[int, int, int], int], steps: int = 400, rate: float = 0.5, decay: float = 1e-4) -> tuple[np.ndarray, np.ndarray]:
+    """(node weights, weights of agreement on the two kinds of edge) by pseudo-likelihood of the counted patterns().
+
+    Kinds weigh alike, however rare they are; a node has at most two neighbours by each kind of edge.
+    """
+    weights, agree = np.zeros((len(LABELS), _FEATURES)), np.zeros(2)
+    if not counts:
         return weights, agree
-    x, near, y = np.concatenate(rows), np.concatenate(around), np.eye(len(LABELS))[labels]
+    keys = np.array(sorted(counts), dtype=np.int64)
+    n = np.array([counts[tuple(k)] for k in keys.tolist()], dtype=float)
+    x = ((keys[:, 0][:, None] >> np.arange(_FEATURES)) & 1).astype(float)
+    near = ((keys[:, 1][:, None] >> (3 * np.arange(2 * len(LABELS)))) & 7).reshape(-1, 2, len(LABELS)).astype(float)
+    y = np.eye(len(LABELS))[keys[:, 2]]
+    share = n[:, None] * y
+    n = n / np.maximum(share.sum(axis=0), 1)[keys[:, 2]]
+    n /= n.sum()
     for _ in range(steps):
         logits = np.stack([(x * w).sum(axis=1) for w in weights], axis=1) + (near * agree[None, :, None]).sum(axis=1)
         p = np.exp(logits - logits.max(axis=1, keepdims=True))
         p /= p.sum(axis=1, keepdims=True)
-        gap = (y - p) / len(y)
+        gap = (y - p) * n[:, None]
         weights += rate * (np.stack([(x * gap[:, k, None]).sum(axis=0) for k in range(len(LABELS))]) - decay * weights)
         agree += rate * ((near * gap[:, None, :]).sum(axis=(0, 2)) - decay * agree)
-    return weights, np.maximum(agree, 0.5 * np.arange(2))
+    return weights, np.clip(agree, 0.5 * np.arange(2), 2.0)
 
 
 def beliefs(features: np.ndarray, edges: list[tuple[int, int, int]], weights: np.ndarray, agree: np.ndarray, rounds: int = 8) -> np.ndarray:
@@ -187,30 +218,41 @@ def all_spans(text: str, weights: np.ndarray, agree: np.ndarray) -> tuple[list[t
     return base, sorted(base + more, key=lambda s: (s[0], KINDS.index(s[2])))
 
 
-def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", train_docs: int = TRAIN_DOCS) -> DataFrame:
-    """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans) for every row of docs; the counts are of base spans.
+def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", patterns_kept: int = PATTERNS_KEPT) -> DataFrame:
+    """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_spans) for every row of docs.
 
-    The field is trained on at most train_docs texts with a digit or an @. Null text counts as empty: no spans. Rows that
-    repeat an id are answered each; extra columns are ignored; an empty table gives no rows. Texts aren't shuffled.
+    n_email to n_phone and base_sha256 are of the base spans; spans has those and what the field adds, n_spans their number.
+    The field is trained on all documents: tasks count the distinct patterns of their nodes, and the driver gets the
+    patterns_kept most frequent ones, no texts. Null text counts as empty: no spans. Rows that repeat an id are answered
+    each; extra columns are ignored; an empty table gives no rows. Texts aren't shuffled.
     """
+    bounded_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), whole(text_col).alias("text"))
-    chosen = rows.where(F.col("text").rlike("[0-9@]")).select("text", F.xxhash64("doc_id").alias("h")).where(F.length("text") < 20000).orderBy("h", "text").limit(train_docs)
-    weights, agree = train([r["text"] for r in chosen.select("text").collect()])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = patterns(t for batch in batches for t in batch.column("text").to_pylist())
+        keys = list(found)
+        yield pa.RecordBatch.from_arrays([*(pa.array([k[c] for k in keys], pa.int64()) for c in range(3)), pa.array([found[k] for k in keys], pa.int64())], names=["bits", "near", "label", "n"])
+
+    counted = rows.select("text").mapInArrow(count, "bits long, near long, label long, n long").groupBy("bits", "near", "label").agg(F.sum("n").alias("n"))
+    kept = counted.orderBy(F.desc("n"), "bits", "near", "label").limit(patterns_kept).collect()
+    weights, agree = train({(r["bits"], r["near"], r["label"]): r["n"] for r in kept})
     show = lambda spans: ",".join(f"{kind}:{a}:{b}" for a, b, kind in spans)
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            counts: list[list[int]] = [[], [], [], []]
+            counts: list[list[int]] = [[], [], [], [], []]
             shas, spans = [], []
             for text in batch.column("text").to_pylist():
                 base, found = all_spans(text, weights, agree)
                 for c, kind in zip(counts, KINDS):
                     c.append(sum(k == kind for _, _, k in base))
+                counts[4].append(len(found))
                 shas.append(hashlib.sha256(show(base).encode()).hexdigest())
                 spans.append(show(found))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, pa.int64()) for c in counts), pa.array(shas, pa.string()), pa.array(spans, pa.string())], names=["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, pa.int64()) for c in counts[:4]), pa.array(shas, pa.string()), pa.array(spans, pa.string()), pa.array(counts[4], pa.int64())], names=["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans", "n_spans"])
 
-    return rows.mapInArrow(find, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
+    return rows.mapInArrow(find, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_spans long")
 
 
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
