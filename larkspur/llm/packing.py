@@ -12,14 +12,13 @@ import pyarrow.compute  # noqa: F401  (pa.compute)
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import gapless_rank, materialize, whole
+from .shared import bounded_batches, gapless_rank, materialize, whole
 from .tokens import ENCODED, END_ID, default_tokenizer, slices, token_rows
 
 CAPACITY = 1024
-#: Groups of large lengths, and the least length that counts as large, as a share of the capacity.
-GROUPS, LARGE = 128, 0.34
-#: The plan with the fewest sequences is taken of these: linear grouping, and no length counted as large (best-fit alone).
-TRIED = ((GROUPS, LARGE), (1, 1.0))
+#: Groups of large lengths, and the least length that counts as large, as a share of the capacity; of the plans by these the
+#: one with the fewest sequences is taken. Many groups, as rounding up costs room; large ones meet in pairs by the second.
+TRIED = ((512, 0.5), (512, 0.34))
 
 
 def configurations(sizes: list[int], demand: list[int], capacity: int, rounds: int = 400) -> list[tuple[np.ndarray, int]]:
@@ -72,7 +71,7 @@ def configurations(sizes: list[int], demand: list[int], capacity: int, rounds: i
     return [(columns[:, j].astype(np.int64), int(n)) for j, n in enumerate(whole_times) if n > 0]
 
 
-def plan(counts: dict[int, int], capacity: int = CAPACITY, groups: int = GROUPS, large: float = LARGE) -> tuple[np.ndarray, int]:
+def plan(counts: dict[int, int], capacity: int = CAPACITY, groups: int = TRIED[0][0], large: float = TRIED[0][1]) -> tuple[np.ndarray, int]:
     """Runs (length, first rank, count, first sequence, offset) that place `counts` items of each length, and the sequences used.
 
     The input is a histogram, so time and memory depend on the capacity, not on the number of documents. Large lengths
@@ -190,20 +189,22 @@ def best_plan(counts: dict[int, int], capacity: int = CAPACITY, tried: tuple[tup
 def cut(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32): each document's ids with the end id; longer ones cut, the short piece first."""
     path = path or default_tokenizer()
+    bounded_batches(docs.sparkSession)
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rows in slices(batch, most=ENCODED):
-                out: tuple[list, ...] = ([], [], [], [], [])
-                for doc, ids in zip(rows.column("doc_id").to_pylist(), token_rows(rows.column("text").to_pylist(), path, end_id)):
-                    n, view = len(ids) // 4, memoryview(ids)
-                    edges = [0, *range(n % capacity or capacity, n + 1, capacity)]
-                    if n <= capacity:
-                        edges = [0, n]
-                    for k, (a, b) in enumerate(zip(edges, edges[1:])):
-                        for column, value in zip(out, (doc, k, a, b - a, zlib.crc32(view[4 * a : 4 * b]))):
-                            column.append(value)
-                yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int32()), *(pa.array(c, pa.int64()) for c in out[2:])], names=["doc_id", "piece", "start", "length", "ids_crc32"])
+                ids, bounds = token_rows(rows.column("text").to_pylist(), path, end_id)
+                n = np.diff(bounds)
+                pieces_of = -(-n // capacity)
+                doc = np.repeat(np.arange(len(n)), pieces_of)
+                piece = np.arange(len(doc)) - np.repeat(np.cumsum(pieces_of) - pieces_of, pieces_of)
+                first = (n - (pieces_of - 1) * capacity)[doc]
+                start = np.where(piece > 0, first + (piece - 1) * capacity, 0)
+                length = np.where(piece > 0, capacity, first)
+                view, at = memoryview(ids).cast("B"), 4 * (bounds[doc] + start)
+                crc = [zlib.crc32(view[a:b]) for a, b in zip(at.tolist(), (at + 4 * length).tolist())]
+                yield pa.RecordBatch.from_arrays([rows.column("doc_id").take(pa.array(doc)), pa.array(piece.astype(np.int32)), pa.array(start), pa.array(length), pa.array(crc, pa.int64())], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), whole(text_col).alias("text"))
     return rows.mapInArrow(pieces, "doc_id long, piece int, start long, length long, ids_crc32 long")

@@ -77,7 +77,7 @@ def gapless_rank(df: DataFrame, classes: list[str], order: list[str], spread: li
 
     classes must have a bounded number of values (tens of thousands). A class with many rows is dealt into cells by a
     hash of `spread`, in proportion to its rows, so no task ranks more than about total / RANK_CELLS rows plus ties; only
-    the counts of cells, at most len(classes) + RANK_CELLS rows, are added up and broadcast.
+    the counts of cells, at most len(classes) + RANK_CELLS rows, are added up by the driver and broadcast.
     """
     starts = offsets_by or classes
     counts = df.groupBy(*classes).agg(F.count(F.lit(1)).alias("_n"))
@@ -85,9 +85,14 @@ def gapless_rank(df: DataFrame, classes: list[str], order: list[str], spread: li
     target = max(1, -(-total // RANK_CELLS))
     parts = counts.select(*classes, F.ceil(F.col("_n") / F.lit(target)).cast("int").alias("_parts"))
     celled = df.join(F.broadcast(parts), classes).withColumn("_cell", F.pmod(F.xxhash64(*spread), F.col("_parts")).cast("int")).drop("_parts")
-    before = Window.partitionBy(*starts).orderBy(*classes, "_cell").rowsBetween(Window.unboundedPreceding, -1)
     cells = celled.groupBy(*classes, "_cell").agg(F.count(F.lit(1)).alias("_n"))
-    offsets = cells.select(*classes, "_cell", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
+    rows, before, last = [], 0, None
+    for r in sorted(cells.collect()):
+        start = tuple(r[c] for c in starts)
+        before = before if start == last else 0
+        rows.append((*r[:-1], before))
+        before, last = before + r["_n"], start
+    offsets = df.sparkSession.createDataFrame(rows, cells.drop("_n").withColumn("_base", F.lit(0).cast("long")).schema)
     inside = Window.partitionBy(*classes, "_cell").orderBy(*order)
     ranked = celled.withColumn("_at", F.row_number().over(inside) - 1)
     return ranked.join(F.broadcast(offsets), [*classes, "_cell"]).withColumn(name, (F.col("_base") + F.col("_at")).cast("long")).drop("_cell", "_base", "_at")

@@ -6,6 +6,7 @@ import os
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -15,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .shared import materialize, new_path, whole
+from .shared import bounded_batches, materialize, new_path, whole
 
 #: Appended to each document.
 END_ID = 2
@@ -25,8 +26,9 @@ SLICE, ENCODED = 1 << 20, 4 << 20
 REMEMBERED = 400_000
 #: Fixed value: the pattern by which the public byte-level vocabulary splits texts before merging bytes.
 PRETOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: The same for texts of Latin letters, where letters and digits are what `re` takes for them, which is faster.
-LATIN = r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+"
+#: The same for texts of ASCII or of Latin letters, with the letters named and first, which is faster: no other branch begins as they do.
+_LETTERS = ("A-Za-z", "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u024f")
+LATIN = tuple(rf" ?[{x}]+|'s|'t|'re|'ve|'m|'ll|'d| ?[0-9]+| ?[^\s0-9{x}]+|\s+(?!\S)|\s+" for x in _LETTERS)
 #: Characters beyond those texts, and characters that libraries disagree on as white space: texts with them are encoded whole.
 BEYOND = re.compile("[\x1c-\x1f\x85\xb2\xb3\xb9\xbc-\xbe]|[^\x00-\u024f]")
 DISPUTED = re.compile("[\x1c-\x1f\x85]")
@@ -39,10 +41,29 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+class _Index(dict):
+    """Numbers of pre-tokens; one that has none gets the next, and is listed as new."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.new: list = []
+
+    def __missing__(self, key: str | tuple) -> int:
+        self[key] = out = len(self)
+        self.new.append(key)
+        return out
+
+
+#: Words that the library gets in one call; its own memory serves short calls better.
+_CALL = 1000
+
+
 class Encoder:
-    """Ids of texts, as little-endian unsigned 32-bit integers, exactly as the tokenizers library gives them.
+    """Ids of texts exactly as the tokenizers library gives them.
 
-    A byte-level vocabulary merges bytes within pre-tokens only, so each is encoded by the library once and remembered.
+    A byte-level vocabulary merges bytes within pre-tokens only, so each is encoded by the library once and remembered: a
+    text is the numbers of its pre-tokens, and its ids are gathered from one table. Texts that hold an added token, such as
+    the vocabulary's mark for the end of a text, are encoded by the library whole, as it cuts them there first.
     """
 
     def __init__(self, path: str):
@@ -51,47 +72,59 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.latin, self.other = re.compile(LATIN).findall, regex.compile(PRETOKEN).findall
-        self.known: dict[str, bytes] = {}
-        self.newline = self._ids("\n")
-
-    def _ids(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
-
-    def _split(self, text: str) -> list[str] | None:
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.ascii, self.latin = (re.compile(x).findall for x in LATIN)
+        self.other = regex.compile(PRETOKEN).findall
+        self.index = _Index()
+        self.ids, self.starts = np.zeros(0, dtype="<u4"), np.zeros(1, dtype=np.int64)
+
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4")
+
+    def _split(self, text: str) -> list:
+        """The pre-tokens of a text; one for all of it if it must be encoded whole."""
+        for token in self.added:
+            if token in text:
+                return [(text,)]
+        if text.isascii():
+            return [(text,)] if "\x1c" in text or "\x1d" in text or "\x1e" in text or "\x1f" in text else self.ascii(text)
         if BEYOND.search(text) is None:
             return self.latin(text)
-        return None if DISPUTED.search(text) else self.other(text)
-
-    def _learn(self, missing: set[str]) -> dict[str, bytes]:
-        """Words of letters in one call, with line breaks between them; other pre-tokens one by one."""
-        words = [w for w in missing if w.isalpha() or w[0] == " " and w[1:].isalpha()]
-        out = {}
-        if words:
-            ids = np.array(self.tokenizer.encode("\n".join(words), add_special_tokens=False).ids, dtype="<u4")
-            cuts = np.flatnonzero(ids == np.frombuffer(self.newline, "<u4")[0])
-            if len(cuts) == len(words) - 1:
-                data, at = ids.tobytes(), 0
-                for w, end in zip(words, [*(cuts * 4).tolist(), len(data)]):
-                    out[w] = data[at:end]
-                    at = end + 4
-        for w in missing:
-            if w not in out:
-                out[w] = self._ids(w)
-        return out
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        known = self.known
+        return [(text,)] if DISPUTED.search(text) else self.other(text)
+
+    def _learn(self, new: list) -> None:
+        """Ids of new pre-tokens go to the end of the table. Words with a space before them are encoded many in a call."""
+        words = [w for w in new if w[0] == " " and w[1:].isalpha()]
+        found = {}
+        for k in range(0, len(words), _CALL):
+            some = words[k : k + _CALL]
+            e = self.tokenizer.encode("".join(some), add_special_tokens=False)
+            ids, cuts = np.array(e.ids, dtype="<u4"), np.flatnonzero(np.diff(np.array(e.word_ids))) + 1
+            if len(cuts) == len(some) - 1:
+                found.update(zip(some, np.split(ids, cuts)))
+        each = [found[w] if w in found else self._ids(w[0] if isinstance(w, tuple) else w) for w in new]
+        self.ids = np.concatenate([self.ids, *each])
+        self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum([len(x) for x in each])])
+
+    def encode(self, texts: list[str], end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts end to end, where each text's begin and the last one's end), with `end` after each text if given."""
         split = [self._split(t) for t in texts]
-        missing = {p for s in split if s for p in s}.difference(known)
-        extra = self._learn(missing)
-        known.update(extra)
-        out = [self._ids(t) if s is None else b"".join(map(known.__getitem__, s)) for t, s in zip(texts, split)]
-        if len(known) > REMEMBERED:
-            for w in extra:
-                del known[w]
-        return out
+        counts, known = np.array([len(x) for x in split], dtype=np.int64), len(self.index)
+        which = np.fromiter(map(self.index.__getitem__, chain.from_iterable(split)), np.int64, int(counts.sum()))
+        new, self.index.new = self.index.new, []
+        if new:
+            self._learn(new)
+        size = self.starts[which + 1] - self.starts[which]
+        ends = np.concatenate([[0], np.cumsum(size)])
+        ids = self.ids[np.repeat(self.starts[which] - ends[:-1], size) + np.arange(int(ends[-1]))]
+        bounds = ends[np.concatenate([[0], np.cumsum(counts)])]
+        if len(self.index) > REMEMBERED:
+            for w in new:
+                del self.index[w]
+            self.ids, self.starts = self.ids[: self.starts[known]], self.starts[: known + 1]
+        if end is not None:
+            ids, bounds = np.insert(ids, bounds[1:], np.uint32(end)), bounds + np.arange(len(bounds))
+        return ids, bounds
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -114,10 +147,9 @@ def slices(batch: pa.RecordBatch, text: str = "text", most: int = SLICE) -> Iter
             yield batch.slice(a, b - a)
 
 
-def token_rows(texts: list[str | None], path: str, end_id: int) -> list[bytes]:
-    """Ids with the end id, for null as for the empty text."""
-    end = int(end_id).to_bytes(4, "little")
-    return [x + end for x in encoder(path).encode([t or "" for t in texts])]
+def token_rows(texts: list[str | None], path: str, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all texts with the end id after each, for null as for the empty text, and their bounds."""
+    return encoder(path).encode([t or "" for t in texts], end_id)
 
 
 def write_tokens(docs: DataFrame, target: str, path: str | None = None, end_id: int = END_ID, row_group: int = 32 << 20, page: int = 64 << 10, id_col: str = "doc_id", text_col: str = "text") -> None:
@@ -136,14 +168,14 @@ def write_tokens(docs: DataFrame, target: str, path: str | None = None, end_id:
         part, at = TaskContext.get().partitionId(), 0
         for batch in batches:
             for rows in slices(batch, most=ENCODED):
-                ids = token_rows(rows.column("text").to_pylist(), path, end_id)
-                n = np.array([len(x) // 4 for x in ids], dtype=np.int64)
-                ends = np.cumsum(n)
-                offsets = pa.array(np.concatenate([[0], ends]).astype(np.int32))
-                values = pa.Array.from_buffers(pa.int32(), int(ends[-1]), [None, pa.py_buffer(b"".join(ids))])
+                ids, bounds = token_rows(rows.column("text").to_pylist(), path, end_id)
+                n, ends = np.diff(bounds), bounds[1:]
+                offsets = pa.array(bounds.astype(np.int32))
+                values = pa.Array.from_buffers(pa.int32(), len(ids), [None, pa.py_buffer(ids)])
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), part, np.int32)), rows.column("doc_id"), pa.array(at + ends - n), pa.array(n.astype(np.int32)), pa.ListArray.from_arrays(offsets, values)], schema=arrow)
                 at += int(ends[-1])
 
+    bounded_batches(docs.sparkSession)
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), whole(text_col).alias("text"))
     order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text")]
