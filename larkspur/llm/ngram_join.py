@@ -11,7 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import materialize, release, text_bytes, whole
+from .shared import bounded_batches, materialize, release, text_bytes, whole
 from .shingles import WIDTH, shingle_sets
 
 #: Two sets are linked if 100 * intersection >= PERCENT * union.
@@ -389,8 +389,9 @@ def _members(sets: DataFrame, percent: int) -> DataFrame:
 
     rows = materialize(sets.mapInArrow(prefix, "node long, token long, n long"), "prefixes", "snappy")
     hubs = rows.groupBy("token").agg(F.min("node").alias("hub"), F.max("node").alias("last")).where("hub < last").select("token", "hub")
+    hubs = materialize(hubs, "hubs")  # a written side, so that adaptive execution can split the rows of a hot shingle
     out = materialize(rows.join(hubs, "token").select("node", "hub", "n").distinct(), "members")
-    release(rows)
+    release(rows, hubs)
     return out
 
 
@@ -457,17 +458,20 @@ PART_BYTES = 16 << 20
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, component_id) for every row of docs.
+    """(doc_id, n_shingles, component_id, fit, stays) for every row of docs.
 
     1. Each shingle is sent once a chunk to the partition of its hash, which answers how many of each set no other set
     has. More than the part that may differ: the set is linked with nothing, and done. The number of partitions follows
     the bytes of text, so none grows with the input. 2. Equal sets become one class. 3. Sets of the classes left are joined
     within the groups of hubs, each a prefix tree. 4. Classes that links connect get the smallest doc_id of their rows.
 
-    Null, empty and blank texts have no shingles and are linked with nothing: they are their own component. A null doc_id
-    never becomes a component's id unless all its rows have none. Rows that repeat an id are separate texts. Extra columns
-    are ignored; an empty table gives no rows. Shingles are compared as 64-bit hashes.
+    fit is a hash of the text; stays marks the one text of a component that has the smallest (doc_id, fit), and what is
+    alone. Null, empty and blank texts have no shingles and are linked with nothing: they are their own component. A null
+    doc_id never becomes a component's id unless all its rows have none. Rows that repeat an id are separate texts; rows that
+    repeat both id and text stay or go together. Extra columns are ignored; an empty table gives no rows. Shingles are
+    compared as 64-bit hashes.
     """
+    bounded_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), whole(text_col).alias("text")).select("id", "text", F.xxhash64("text").alias("fit"))
     parts = max(8, -(-text_bytes(docs, text_col) // PART_BYTES))
 
@@ -513,13 +517,14 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH,
     links = materialize(_joined(sets, _members(sets, percent), percent), "links")
     release(sets)
     linked = components(links)
-    named = classes.join(linked, "node", "left").select("mark", "id", F.coalesce("root", "node").alias("root"))
-    smallest = named.groupBy("root").agg(F.min("id").alias("component_id"))
-    of = materialize(named.join(smallest, "root").select("mark", "component_id", F.lit(True).alias("known")), "classes-of")
+    named = classes.join(linked, "node", "left").select("mark", "id", "fit", F.coalesce("root", "node").alias("root"))
+    smallest = named.groupBy("root").agg(least.alias("least"))
+    of = materialize(named.join(smallest, "root").select("mark", F.col("least.id").alias("component_id"), F.col("least.fit").alias("chosen"), F.lit(True).alias("known")), "classes-of")
     out = counted.join(of, "mark", "left")
-    return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("known"), F.col("component_id")).otherwise(F.col("id")).alias("component_id"))
+    stays = F.when(F.col("known"), F.col("id").eqNullSafe(F.col("component_id")) & (F.col("fit") == F.col("chosen"))).otherwise(F.lit(True))
+    return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("known"), F.col("component_id")).otherwise(F.col("id")).alias("component_id"), "fit", stays.alias("stays"))
 
 
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate classes of all documents."""
-    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")).select("doc_id", "n_shingles", "component_id")
