@@ -56,21 +56,22 @@ def _complete(rows: DataFrame) -> DataFrame:
     return out
 
 
-def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
-    """One row per row of docs: doc_id, keep_id, group_size, kept, text_sha256.
+def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK, carry_fit: bool = False) -> DataFrame:
+    """One row per row of docs: doc_id, keep_id, group_size, kept, text_sha256 (and with carry_fit: fit, the text's xxhash64).
 
     Null text counts as empty; empty texts are one group. Of a group the largest doc_id stays (a null id never beats one
     that is not null). Rows that repeat both id and text count in group_size and share one decision. An empty table gives
     no rows; extra columns are ignored.
     """
     names = materialize(block_names(docs, block, id_col, text_col).select(F.col("doc_id").alias("d"), F.col("text_hash").alias("h"), "name"), "names")
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.sha2(whole(text_col).cast("binary"), 256).alias("text_sha256"))
-    tagged = materialize(rows.join(names, F.col("doc_id").eqNullSafe(F.col("d")) & (F.unhex("text_sha256") == F.col("h")), "left").select("doc_id", "text_sha256", "name"), "tagged")
+    fit = ["fit"] if carry_fit else []
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.sha2(whole(text_col).cast("binary"), 256).alias("text_sha256"), F.xxhash64(whole(text_col)).alias("fit")).select("doc_id", "text_sha256", *fit)
+    tagged = materialize(rows.join(names, F.col("doc_id").eqNullSafe(F.col("d")) & (F.unhex("text_sha256") == F.col("h")), "left").select("doc_id", "text_sha256", "name", *fit), "tagged")
     groups = materialize(tagged.where("name is not null").groupBy("name").agg(F.max("doc_id").alias("keep"), F.count(F.lit(1)).alias("size")), "groups")
     release(names)
     out = tagged.join(groups, "name", "left")
     keep = F.when(F.col("size").isNull(), F.col("doc_id")).otherwise(F.col("keep"))
-    return out.select("doc_id", keep.alias("keep_id"), F.coalesce("size", F.lit(1)).cast("long").alias("group_size"), F.col("doc_id").eqNullSafe(keep).alias("kept"), "text_sha256")
+    return out.select("doc_id", keep.alias("keep_id"), F.coalesce("size", F.lit(1)).cast("long").alias("group_size"), F.col("doc_id").eqNullSafe(keep).alias("kept"), "text_sha256", *fit)
 
 
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
