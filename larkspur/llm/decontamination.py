@@ -12,9 +12,11 @@ from .shared import materialize
 #: Words of a window that must not be shared, and of the k-grams that are fingerprinted; w = WINDOW - GRAM + 1 of them
 #: slide over each other, so every shared run of WINDOW words has a fingerprint that both texts keep.
 WINDOW, GRAM = 10, 5
-#: Up to so many fingerprints of benchmark items (30 bytes each) are broadcast; more are joined by a shuffle.
-BROADCAST_ROWS = 500_000
+#: Up to so many bytes of benchmark fingerprints, with the words around them, are broadcast; more are joined by a shuffle.
+BROADCAST_BYTES = 64 << 20
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: The same before A-Z are lowered.
+ANY_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -64,38 +66,51 @@ def _prints(words: Column, kinds: list[tuple[int, int, int]]) -> Column:
 
 
 def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, gram: int = GRAM, doc_id: str = "doc_id", doc_text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
-    """(doc_id, n_words, hits): each row of docs with its merged runs of hit words and the items found.
+    """(doc_id, fit, n_words, hits): each row of docs with a hash of its text, its runs of hit words and the items found.
 
     hits: array of (start, end, item_id) for every occurrence of every window, in word positions. Fingerprints of both sides
     join by hash; a match is extended to the windows that hold it, whose words are compared one by one, so no hash decides.
+    A fingerprint of an item carries the few words that such windows can reach, never the whole item. Up to BROADCAST_BYTES
+    of these are broadcast; beyond that fingerprints are joined by a shuffle that carries no words of documents, which are
+    fetched afterwards, once a document.
+
     Items shorter than a window are one window, looked up whole among runs of as many words. Nulls and texts without words
     have no hits; so has an empty benchmark. Extra columns are ignored. Rows that repeat an id are answered each.
     """
     items = materialize(with_words(items, F.col(item_id).alias("item_id"), text=item_text, name="item_words").where(F.size("item_words") > 0), "items")
     sizes = sorted(r[0] for r in items.select(F.least(F.size("item_words"), F.lit(window)).alias("n")).distinct().collect())
-    base = with_words(docs, F.col(doc_id).alias("doc_id"), text=doc_text, name="words")
+    text = F.coalesce(F.col(doc_text).cast("string"), F.lit(""))
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("fit"), F.regexp_count(text, F.lit(ANY_WORD)).cast("long").alias("n_words"))
     if not sizes:
-        return base.select("doc_id", F.size("words").cast("long").alias("n_words"), F.array().cast("array<struct<start:int,end:int,item_id:bigint>>").alias("hits"))
+        return rows.withColumn("hits", F.array().cast(_HITS))
+    base = with_words(docs, F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("fit"), text=doc_text, name="words")
     kinds = [(n, gram, window - gram + 1) if n >= window else (n, n, 1) for n in sizes]  # at most `window` of them
     found = []
     for kind in kinds:
         of = items.where(F.size("item_words") >= window if kind[0] >= window else F.size("item_words") == kind[0])
-        found.append(of.select("item_id", "item_words", F.inline(_prints(F.col("item_words"), [kind]))).select("item_id", "item_words", "kind", "h", F.col("at").alias("item_at")))
+        left = F.least(F.col("at"), F.lit(window - gram if kind[0] >= window else 0))
+        near = F.slice("item_words", F.col("at") - left + 1, left + kind[0])
+        found.append(of.select("item_id", "item_words", F.inline(_prints(F.col("item_words"), [kind]))).select("item_id", "kind", "h", left.alias("left"), near.alias("near")))
     prints = materialize(reduce(DataFrame.unionByName, found), "item-prints")
-    small = prints.count() <= BROADCAST_ROWS
-    # the words ride along only on rows that match a broadcast side, as its join is pipelined with the generator
-    exploded = base.select("doc_id", "words", F.inline(_prints(F.col("words"), kinds)))
-    side = prints.select("item_id", "item_words", "item_at", "h", "kind")
-    joined = exploded.join(F.broadcast(side) if small else side, ["h", "kind"])
-    back = F.when(F.col("kind") < window, F.lit(0)).otherwise(F.lit(window - gram))
-    offsets = F.sequence(F.lit(0), back)
+    size = prints.agg(F.sum(F.aggregate("near", F.lit(64).cast("long"), lambda a, w: a + F.octet_length(w) + 16))).first()[0] or 0
+    exploded = base.select("doc_id", "fit", "words", F.inline(_prints(F.col("words"), kinds)))
+    if size <= BROADCAST_BYTES:  # the words ride along only on rows that match, as this join is pipelined with the generator
+        joined = exploded.join(F.broadcast(prints), ["h", "kind"])
+    else:
+        met = exploded.select("doc_id", "fit", "h", "kind", "at").join(prints, ["h", "kind"])
+        of_doc = met.distinct().groupBy("doc_id", "fit").agg(F.collect_list(F.struct("at", "kind", "item_id", "left", "near")).alias("met"))
+        of_doc = of_doc.select(F.col("doc_id").alias("d"), F.col("fit").alias("f"), "met")
+        joined = base.join(of_doc, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("fit") == F.col("f"))).select("doc_id", "fit", "words", F.inline("met"))
     length = F.col("kind")
-    same = F.filter(offsets, lambda o: (F.col("at") >= o) & (F.col("item_at") >= o) & (F.col("at") - o + length <= F.size("words")) & (F.col("item_at") - o + length <= F.size("item_words")) & (F.slice("words", F.greatest(F.col("at") - o + 1, F.lit(1)), length) == F.slice("item_words", F.greatest(F.col("item_at") - o + 1, F.lit(1)), length)))
-    windows = joined.select("doc_id", F.xxhash64("words").alias("fit"), "item_id", F.explode(F.transform(same, lambda o: F.struct((F.col("at") - o).alias("start"), (F.col("at") - o + length).alias("end")))).alias("w"))
+    offsets = F.sequence(F.lit(0), F.col("left"))
+    same = F.filter(offsets, lambda o: (F.col("at") >= o) & (F.col("at") - o + length <= F.size("words")) & (F.col("left") - o + length <= F.size("near")) & (F.slice("words", F.greatest(F.col("at") - o + 1, F.lit(1)), length) == F.slice("near", F.col("left") - o + 1, length)))
+    windows = joined.select("doc_id", "fit", "item_id", F.explode(F.transform(same, lambda o: F.struct((F.col("at") - o).alias("start"), (F.col("at") - o + length).alias("end")))).alias("w"))
     hits = windows.groupBy("doc_id", "fit").agg(F.array_sort(F.collect_set(F.struct("w.start", "w.end", "item_id"))).alias("hits"))
-    hits = materialize(hits.select(F.col("doc_id").alias("d"), "fit", "hits"), "hits")
-    rows = base.select("doc_id", F.size("words").cast("long").alias("n_words"), F.xxhash64("words").alias("own_fit"))
-    return rows.join(hits, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("own_fit") == F.col("fit")), "left").select("doc_id", "n_words", "hits")
+    hits = materialize(hits.select(F.col("doc_id").alias("d"), F.col("fit").alias("f"), "hits"), "hits")
+    return rows.join(hits, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("fit") == F.col("f")), "left").select("doc_id", "fit", "n_words", F.coalesce("hits", F.array().cast(_HITS)).alias("hits"))
+
+
+_HITS = "array<struct<start:int,end:int,item_id:bigint>>"
 
 
 def hit_words(hits: Column) -> Column:
@@ -108,7 +123,7 @@ def hit_words(hits: Column) -> Column:
 def decontaminate(docs: DataFrame, items: DataFrame) -> DataFrame:
     """(doc_id, n_words, n_hit, n_items, items_sha256, contaminated) for every row of docs."""
     found = contamination(docs, items)
-    names = F.array_sort(F.array_distinct(F.transform(F.coalesce("hits", F.array().cast("array<struct<start:int,end:int,item_id:bigint>>")), lambda h: h["item_id"].cast("string"))))
+    names = F.array_sort(F.array_distinct(F.transform(F.col("hits"), lambda h: h["item_id"].cast("string"))))
     return found.select("doc_id", F.col("n_words").cast("long").alias("n_words"), hit_words(F.col("hits")).alias("n_hit"), F.size(names).cast("long").alias("n_items"), F.sha2(F.array_join(names, ",").cast("binary"), 256).alias("items_sha256"), (hit_words(F.col("hits")) > 0).alias("contaminated"))
 
 
