@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import math
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,20 +12,25 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import materialize, whole
+from .shared import bounded_batches, materialize, whole
 
 #: At most so many labelled rows of each class (least hash of their id) are learned from, and so many terms kept.
 TRAIN_TOXIC, TRAIN_CLEAN, TERMS = 4000, 6000, 3000
+#: Share of chance finds that is borne among the terms, as thousands are tried (the step-up rule for false discoveries); with
+#: few labelled rows, so many of the best are terms all the same.
+CHANCE, LEAST_TERMS = 0.02, 10
 SAMPLE_PARTS = 24
-#: Words on either side of a hit that make up its context.
-WINDOW = 10
+#: Words on either side of a hit that make up its context; what a hit within quotation marks counts, and how much more one
+#: counts for each of up to CROWD other hits in its context that aren't quoted.
+WINDOW, QUOTED, CROWD, MORE = 10, 0.1, 2, 0.5
+_QUOTE = re.compile(r'["“][^"“”\n]{1,400}["”]')
 #: Log odds from which a term may be misspelled in a Lexicon made without another bound; score() and keep_clean() set none.
 FUZZY_ODDS = 4.0
 #: Letters of the beginnings that count as terms beside whole words.
 STEM = 5
 _WORD = re.compile(r"[^\W\d_]+(?:[0-9@$!*][^\W\d_]+)*")
 _SPLIT = r"[^\p{L}]+"
-N_FEATURES = 9
+N_FEATURES = 8
 
 
 def shortened(word: str) -> set[str]:
@@ -89,51 +96,54 @@ class Lexicon:
         return best
 
     def features(self, text: str) -> list[float]:
-        """What the classifier sees of a text."""
+        """What the classifier sees of a text: its hits, each weighed by its context, in all, by length and in the densest window;
+        its five worst terms; its stems; and its distinct terms, in all and by length.
+
+        Exact and misspelled terms are hits alike. Within quotation marks on a line a hit counts QUOTED; beside other hits
+        that aren't quoted, more.
+        """
         lower = text.lower()
         distinct = set(_WORD.findall(lower))
         exact = distinct & self.words.keys()
-        stems = [s for w in distinct if len(w) > STEM and (s := w[:STEM]) in self.stems]
-        known, fuzzy = self.memo, {}
+        stems = sum(self.stems[s] for w in distinct if len(w) > STEM and (s := w[:STEM]) in self.stems)
+        known, terms = self.memo, {w: self.words[w] for w in exact}
         for w in distinct:
             v = known.get(w)
             if v is None:
                 v = self.match(w)
             if v and w not in exact:
-                fuzzy[w] = v
+                terms[w] = v
         out = [0.0] * N_FEATURES
-        if not (exact or fuzzy or stems):
+        out[4] = np.log1p(stems)
+        out[5] = np.log1p(100 * stems / max(len(distinct), 20))
+        if not terms:
             return out
-        words = list(_WORD.finditer(lower)) if exact or fuzzy else []
-        hits, quoted, n, mark = [], 0.0, len(words), 0
-        at = 0
-        for i, m in enumerate(words):
-            w = m[0]
-            if w in exact or w in fuzzy:
-                mark += lower.count('"', at, m.start()) + lower.count("“", at, m.start()) + lower.count("”", at, m.start())
-                at = m.start()
-                v = self.words[w] if w in exact else fuzzy[w]
-                if mark % 2:
-                    quoted += v
-                else:
-                    hits.append((i, v))
-        dense, j, run = 0.0, 0, 0.0
-        for i, v in hits:
-            run += v
-            while hits[j][0] < i - WINDOW:
-                run -= hits[j][1]
-                j += 1
-            dense = max(dense, run)
-        total = sum(v for _, v in hits)
+        n, places, values, starts = 0, [], [], []
+        for n, m in enumerate(_WORD.finditer(lower), 1):
+            if m[0] in terms:
+                places.append(n - 1)
+                values.append(terms[m[0]])
+                starts.append(m.start())
+        place, value = np.array(places), np.array(values)
+        plain = np.ones(len(place), dtype=bool)
+        for m in _QUOTE.finditer(lower):
+            plain[bisect_left(starts, m.start()) : bisect_left(starts, m.end())] = False
+        before = np.concatenate([[0], np.cumsum(plain)])
+        a, b = np.searchsorted(place, place - WINDOW), np.searchsorted(place, place + WINDOW, side="right")
+        others = before[b] - before[a] - plain
+        value = value * np.where(plain, 1.0, QUOTED) * (1 + MORE * np.minimum(others, CROWD))
+        sums = np.concatenate([[0.0], np.cumsum(value)])
+        total = float(sums[-1])
         out[0] = np.log1p(total)
-        out[1] = np.log1p(quoted)
-        out[2] = np.log1p(sum(fuzzy.values()))
-        out[3] = np.log1p(dense)
-        out[4] = np.log1p(100 * total / max(n, 20))
-        out[5] = np.log1p(sum(sorted((self.words[w] for w in exact), reverse=True)[:5]))
-        out[6] = np.log1p(sum(self.stems[s] for s in stems))
-        out[7] = np.log1p(100 * sum(self.stems[s] for s in stems) / max(len(distinct), 20))
-        out[8] = np.log1p(100 * sum(self.words[w] for w in exact) / max(len(distinct), 20))
+        out[1] = np.log1p(100 * total / max(n, 20))
+        out[2] = np.log1p(float((sums[b] - sums[np.arange(len(place))]).max()))
+        worst: dict[str, float] = {}
+        for k, v in zip(starts, value.tolist()):
+            w = _WORD.match(lower, k)[0]
+            worst[w] = max(worst.get(w, 0.0), v)
+        out[3] = np.log1p(sum(sorted(worst.values(), reverse=True)[:5]))
+        out[6] = np.log1p(sum(worst.values()))
+        out[7] = np.log1p(100 * sum(worst.values()) / max(len(distinct), 20))
         return out
 
 
@@ -150,7 +160,8 @@ def lexicon_of(terms: dict[str, float]) -> Lexicon:
 
 
 def _fit(x: np.ndarray, y: np.ndarray, steps: int = 1500, rate: float = 0.3, decay: float = 1e-4) -> tuple[np.ndarray, float]:
-    """Logistic regression by gradient steps with momentum; features are scaled within."""
+    """Logistic regression by gradient steps with momentum; features are scaled within. No weight is negative: more of any
+    feature is more evidence."""
     scale = np.maximum(x.std(axis=0), 1e-3)
     z = x / scale
     w, b, vw, vb = np.zeros(x.shape[1]), 0.0, np.zeros(x.shape[1]), 0.0
@@ -158,6 +169,8 @@ def _fit(x: np.ndarray, y: np.ndarray, steps: int = 1500, rate: float = 0.3, dec
         gap = y - 1 / (1 + np.exp(-((z * w).sum(axis=1) + b).clip(-30, 30)))
         vw, vb = 0.9 * vw + (z * gap[:, None]).mean(axis=0) - decay * w, 0.9 * vb + gap.mean()
         w, b = w + rate * vw, b + rate * vb
+        vw[w < 0] = 0
+        w = np.maximum(w, 0)
     return w / scale, float(b)
 
 
@@ -183,7 +196,10 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[dict[str, float], np.ndar
     odds = F.log((F.col("a") + 0.5) / n1) - F.log((F.col("b") + 0.5) / n0)
     spread = F.sqrt(1 / (F.col("a") + 0.5) + 1 / (F.col("b") + 0.5))
     best = counted.where("a >= 3").withColumn("odds", odds).withColumn("z", odds / spread).where("odds > 1.5 and z > 2.5").orderBy(F.desc("z"), "term").limit(TERMS)
-    lexicon = {r["term"]: float(r["odds"]) for r in best.select("term", "odds").collect()}
+    tried = max(counted.where("a >= 3").count(), 1)
+    ranked = best.select("term", "odds", "z").collect()
+    good = [k for k, r in enumerate(ranked, 1) if math.erfc(r["z"] / math.sqrt(2)) / 2 <= CHANCE * k / tried]
+    lexicon = {r["term"]: float(r["odds"]) for r in ranked[: max([LEAST_TERMS, *good])]}
     seen = _featured(sample.where("not half").select("d", "toxic", "text").repartition(SAMPLE_PARTS), lexicon).collect()
     if not seen or len({r["toxic"] for r in seen}) < 2:
         return lexicon, np.zeros(N_FEATURES), -3.0
@@ -207,9 +223,10 @@ def _featured(rows: DataFrame, lexicon: dict[str, float]) -> DataFrame:
 def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, held_out, score, predicted) for every row of docs; the score depends on the text alone.
 
-    Null and empty texts get the score of a text without hits. Rows that repeat an id are scored each; extra columns are
+    Null and empty texts get the score of a text without hits. A row without an id is not held out. Rows that repeat an id are scored each; extra columns are
     ignored; an empty table gives no rows. Without labels of both classes every score is low. Texts aren't shuffled.
     """
+    bounded_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), whole(text_col).alias("text"))
     lexicon, weights, bias = train(rows, labels)
 
@@ -220,7 +237,7 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             p = 1 / (1 + np.exp(-((x * weights).sum(axis=1) + bias).clip(-30, 30)))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(p)], names=["doc_id", "score"])
 
-    held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False))
     return rows.mapInArrow(run, "doc_id long, score double").select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
@@ -234,6 +251,7 @@ def keep_clean(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, text_
 
     Null and empty texts stay. The classifier is trained as in score(), on rows of docs.
     """
+    bounded_batches(docs.sparkSession)
     lexicon, weights, bias = train(docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole(text_col).alias("text")), labels)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
