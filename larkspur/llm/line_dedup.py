@@ -56,14 +56,14 @@ def repeated_units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     Places are ordered by id (none last), then hash of the text, then position, so one place of each digest stays. Digests
     are counted with partial sums before they are shuffled, so a line that a third of all documents hold is one row a task;
-    the join back is a plain one, whose hot digests adaptive execution splits, as the window over documents comes after an
-    exchange of its own. Units are written once and read twice.
+    the join back is a plain one of two written tables, whose hot digests adaptive execution splits, as the window over
+    documents comes after an exchange of its own. Units are written once and read twice.
     """
     rows = materialize(units(docs, id_col, text_col), "units")
     place = F.struct(F.col("id").isNull().alias("none"), "id", "fit", "at")
-    first = rows.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    first = materialize(rows.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "digests")
     out = materialize(rows.join(first.hint("merge"), ["h1", "h2"]).where(place != F.col("first")).select("id", "fit", "at", "start", "end", "size").distinct(), "repeated")
-    release(rows)
+    release(rows, first)
     return out
 
 
