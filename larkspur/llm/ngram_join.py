@@ -11,7 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import bounded_batches, materialize, release, text_bytes, whole
+from .shared import bounded_batches, frugal, frugal_group, materialize, release, text_bytes, whole
 from .shingles import WIDTH, shingle_sets
 
 #: Two sets are linked if 100 * intersection >= PERCENT * union.
@@ -106,8 +106,8 @@ def _sum(table: pa.Table) -> pa.Table:
 
 
 def _counted(sent: DataFrame) -> DataFrame:
-    replies = sent.groupBy("part").applyInArrow(_single, "chunk long, docs binary, sizes binary, marks binary, single binary")
-    return replies.groupBy("chunk").applyInArrow(_sum, "id long, fit long, n long, mark binary, single long")
+    replies = sent.groupBy("part").applyInArrow(frugal_group(_single), "chunk long, docs binary, sizes binary, marks binary, single binary")
+    return replies.groupBy("chunk").applyInArrow(frugal_group(_sum), "id long, fit long, n long, mark binary, single long")
 
 
 def _chunks(sets: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]], parts: int) -> Iterator[pa.RecordBatch]:
@@ -307,7 +307,7 @@ def components(edges: DataFrame) -> DataFrame:
         # done when each node has one edge and no root has one: all are stars then
         if now.groupBy("u").count().where("count > 1").isEmpty() and now.join(now.select(F.col("u").alias("v")), "v", "left_semi").isEmpty():
             return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
-    return now.coalesce(1).mapInArrow(_forest, "node long, root long")
+    return now.coalesce(1).mapInArrow(frugal(_forest), "node long, root long")
 
 
 def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -358,7 +358,7 @@ def _rough_counts(sets: DataFrame) -> np.ndarray:
                 sums.setdefault(k, np.zeros(each, dtype=np.int64))[np.frombuffer(cells, np.uint32) - k * each] += np.frombuffer(counts, np.uint32)
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([np.log2(v + 1).astype(np.uint8).tobytes() for v in sums.values()], pa.binary())], names=["segment", "counts"])
 
-    summed = sets.select("tokens").mapInArrow(count, "segment int, cells binary, counts binary").repartition(_SEGMENTS, "segment").mapInArrow(add, "segment int, counts binary")
+    summed = sets.select("tokens").mapInArrow(frugal(count), "segment int, cells binary, counts binary").repartition(_SEGMENTS, "segment").mapInArrow(add, "segment int, counts binary")
     out = np.zeros(CELLS, dtype=np.uint8)
     for r in summed.collect():
         out[r["segment"] * each : (r["segment"] + 1) * each] = np.frombuffer(r["counts"], np.uint8)
@@ -387,7 +387,7 @@ def _members(sets: DataFrame, percent: int) -> DataFrame:
             if nodes:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (nodes, tokens, sizes)], names=["node", "token", "n"])
 
-    rows = materialize(sets.mapInArrow(prefix, "node long, token long, n long"), "prefixes", "snappy")
+    rows = materialize(sets.mapInArrow(frugal(prefix), "node long, token long, n long"), "prefixes", "snappy")
     hubs = rows.groupBy("token").agg(F.min("node").alias("hub"), F.max("node").alias("last")).where("hub < last").select("token", "hub")
     hubs = materialize(hubs, "hubs")  # a written side, so that adaptive execution can split the rows of a hot shingle
     out = materialize(rows.join(hubs, "token").select("node", "hub", "n").distinct(), "members")
@@ -450,7 +450,7 @@ def _run(sets: DataFrame, tasks: DataFrame, percent: int) -> DataFrame:
         return pa.table({"a": pa.array(left, pa.int64()), "b": pa.array(right, pa.int64())})
 
     dealt = tasks.join(sets.select("node", "tokens"), "node").select("g", "band", "sub", "node", "hub", "probe", "tokens")
-    return dealt.groupBy("g", "band", "sub").applyInArrow(run, "a long, b long")
+    return dealt.groupBy("g", "band", "sub").applyInArrow(frugal_group(run), "a long, b long")
 
 
 #: Bytes of text whose shingles meet in one partition of the count.
@@ -478,7 +478,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH,
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from _chunks(((_docs(b.column("id"), b.column("fit")), h, at) for b, h, at in _sets(batches, width)), parts)
 
-    counted = materialize(_counted(rows.mapInArrow(send, _SENT)), "counted")
+    counted = materialize(_counted(rows.mapInArrow(frugal(send), _SENT)), "counted")
     spare = 100 - percent
     open_ = counted.where((F.col("n") > 0) & (100 * F.col("single") <= spare * F.col("n")))
     least = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "fit"))
@@ -498,7 +498,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH,
     # rows that repeat both id and text match a class each: one of them is enough
     key = classes.select(F.col("id").alias("i"), F.col("fit").alias("f"), "mark", "node")
     texts = rows.join(key.hint("merge"), F.col("id").eqNullSafe(F.col("i")) & (F.col("fit") == F.col("f")))
-    found = materialize(texts.select("text", "mark", "node").mapInArrow(extract, "node long, n long, tokens binary"), "found", "snappy")
+    found = materialize(texts.select("text", "mark", "node").mapInArrow(frugal(extract), "node long, n long, tokens binary"), "found", "snappy")
 
     def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def each() -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -511,7 +511,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH,
     unique = found.dropDuplicates(["node"])
     sent = materialize(unique, "sets", "snappy")
     release(found)
-    left = _counted(sent.mapInArrow(again, _SENT)).where(100 * F.col("single") <= spare * F.col("n")).select(F.col("id").alias("node"))
+    left = _counted(sent.mapInArrow(frugal(again), _SENT)).where(100 * F.col("single") <= spare * F.col("n")).select(F.col("id").alias("node"))
     sets = materialize(sent.join(left, "node", "left_semi"), "sets", "snappy")
     release(sent)
     links = materialize(_joined(sets, _members(sets, percent), percent), "links")

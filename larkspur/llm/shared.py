@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -68,6 +71,38 @@ def bounded_batches(spark: SparkSession) -> None:
         spark.conf.set(name, f"{BATCH_BYTES}b")
 
 
+def give_back() -> None:
+    """Free memory of this Python worker goes back to the system, where its C library can do that; an idle worker would keep it."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def frugal(run: Callable) -> Callable:
+    """A function for mapInArrow that gives back memory when its task ends."""
+
+    def task(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return task
+
+
+def frugal_group(run: Callable) -> Callable:
+    """A function for applyInArrow that gives back memory after each group."""
+
+    def group(table):  # noqa: ANN001, ANN202  (Spark reads the number of parameters only)
+        try:
+            return run(table)
+        finally:
+            give_back()
+
+    return group
+
+
 #: Bound on the ranges that gapless_rank() collects statistics for, above the number of classes.
 RANK_CELLS = 1 << 14
 

@@ -12,7 +12,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import bounded_batches, materialize, text_bytes, whole
+from .shared import bounded_batches, frugal, frugal_group, materialize, text_bytes, whole
 from .shingles import _ODD, _inverse, _powers, mix
 
 #: Bytes of a string that must not repeat, and of the grams whose least hash in it marks a suffix.
@@ -321,8 +321,8 @@ def _gather(table: pa.Table) -> pa.Table:
 
 
 def _exchange(sent: DataFrame, name: str) -> DataFrame:
-    replies = sent.groupBy("part").applyInArrow(_answer, _BACK)
-    found = replies.groupBy("chunk").applyInArrow(_gather, "i long, f long, state binary")
+    replies = sent.groupBy("part").applyInArrow(frugal_group(_answer), _BACK)
+    found = replies.groupBy("chunk").applyInArrow(frugal_group(_gather), "i long, f long, state binary")
     return found.groupBy("i", "f").agg(F.first("state").alias(name))  # rows that repeat id and text have the same states
 
 
@@ -382,7 +382,7 @@ def substring_duplicates(docs: DataFrame, length: int = LENGTH, gram: int = GRAM
                 yield from out.add(_docs(part.column("id"), part.column("fit")), p.text, p.key, p.phrase, int(off[-1] - off[0]))
         yield from out.flush()
 
-    states = materialize(_exchange(rows.mapInArrow(send, _SENT), "state"), "states")
+    states = materialize(_exchange(rows.mapInArrow(frugal(send), _SENT), "state"), "states")
     matched = F.col("id").eqNullSafe(F.col("i")) & (F.col("fit") == F.col("f"))
     told = rows.join(states.hint("merge"), matched, "left").select("id", "fit", "text", "state")
 
@@ -395,7 +395,7 @@ def substring_duplicates(docs: DataFrame, length: int = LENGTH, gram: int = GRAM
                 yield from out.add(_docs(part.column("id"), part.column("fit")), text, h, mix(h ^ _ODD), 16 * len(h))
         yield from out.flush()
 
-    single = _exchange(told.mapInArrow(compare, _SENT), "more")
+    single = _exchange(told.mapInArrow(frugal(compare), _SENT), "more")
     both = told.join(single.hint("merge"), matched, "left").select("id", "text", "state", "more")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -403,7 +403,7 @@ def substring_duplicates(docs: DataFrame, length: int = LENGTH, gram: int = GRAM
             for part in slices(batch, most=4 * PIECE):
                 yield _cut(part, parts, length, gram)
 
-    return both.mapInArrow(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return both.mapInArrow(frugal(cut), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def _cut(rows: pa.RecordBatch, parts: int, length: int, gram: int) -> pa.RecordBatch:

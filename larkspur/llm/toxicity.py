@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import bounded_batches, materialize, whole
+from .shared import bounded_batches, frugal, materialize, whole
 
 #: At most so many labelled rows of each class (least hash of their id) are learned from, and so many terms kept.
 TRAIN_TOXIC, TRAIN_CLEAN, TERMS = 4000, 6000, 3000
@@ -20,6 +20,8 @@ TRAIN_TOXIC, TRAIN_CLEAN, TERMS = 4000, 6000, 3000
 #: few labelled rows, so many of the best are terms all the same.
 CHANCE, LEAST_TERMS = 0.02, 10
 SAMPLE_PARTS = 24
+#: Words that a worker remembers as met with the lexicon (bounds memory, changes no result).
+REMEMBERED = 100_000
 #: Words on either side of a hit that make up its context; what a hit within quotation marks counts, and how much more one
 #: counts for each of up to CROWD other hits in its context that aren't quoted.
 WINDOW, QUOTED, CROWD, MORE = 10, 0.1, 2, 0.5
@@ -66,7 +68,7 @@ class Lexicon:
         best = self.memo.get(word)
         if best is None:
             best = self._walk(word) if self._near(word) else 0.0
-            if len(self.memo) < 300_000:
+            if len(self.memo) < REMEMBERED:
                 self.memo[word] = best
         return best
 
@@ -238,7 +240,7 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(p)], names=["doc_id", "score"])
 
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False))
-    return rows.mapInArrow(run, "doc_id long, score double").select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    return rows.mapInArrow(frugal(run), "doc_id long, score double").select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -261,4 +263,4 @@ def keep_clean(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, text_
             p = 1 / (1 + np.exp(-((x * weights).sum(axis=1) + bias).clip(-30, 30)))
             yield batch.filter(pa.array(p < threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(frugal(run), docs.schema)
