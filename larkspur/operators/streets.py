@@ -35,7 +35,9 @@ def with_ids(rows: DataFrame) -> DataFrame:
     before = Window.orderBy(*[F.col(c).asc_nulls_last() for c in place]).rowsBetween(Window.unboundedPreceding, -1)
     sizes = rows.groupBy(*place).agg(F.count(F.lit(1)).alias("_n")).select(*place, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
     inside = rows.withColumn("_at", F.row_number().over(Window.partitionBy(*place).orderBy(*order)))
-    return inside.join(sizes, place).withColumn("street_id", (F.col("_base") + F.col("_at")).cast("long")).drop("_base", "_at")
+    same = F.col("state").eqNullSafe(F.col("_state")) & F.col("locality_name").eqNullSafe(F.col("_locality"))
+    sizes = sizes.select(F.col("state").alias("_state"), F.col("locality_name").alias("_locality"), "_base")
+    return inside.join(sizes, same).drop("_state", "_locality").withColumn("street_id", (F.col("_base") + F.col("_at")).cast("long")).drop("_base", "_at")
 
 
 def entries(addresses: DataFrame) -> DataFrame:
@@ -58,6 +60,28 @@ def digit_files(rows: DataFrame, threshold: int = 100) -> DataFrame:
     return counted.withColumn("prefix", shard(F.concat_ws("|", "street_key", "digit")))
 
 
+def digit_maps(rows: DataFrame, threshold: int = 100) -> DataFrame:
+    """(street_key, digit_shards): for each split street the file of each digit, as a map."""
+    parts = digit_files(rows, threshold)
+    return parts.groupBy("street_key").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("digit", "prefix")))).alias("digit_shards"))
+
+
+def street_files(rows: DataFrame, threshold: int = 100) -> DataFrame:
+    """(prefix, keys): the keys (street, or street and digit) that each file of entries holds, in order."""
+    key = F.concat_ws("|", "street_key", "digit")  # a null digit is left out
+    named = with_digits(rows, threshold).select(key.alias("key")).distinct()
+    return named.groupBy(shard(F.col("key")).alias("prefix")).agg(F.array_sort(F.collect_list("key")).alias("keys"))
+
+
+def collected_entries(rows: DataFrame) -> DataFrame:
+    """(street_key, entries): the entries of each street, those of a principal address, as one array.
+
+    A street's addresses are bounded by what a street can hold; longer ones are split by digit first.
+    """
+    fields = F.struct(F.col("gnaf_pid").alias("p"), F.col("display_prefix").alias("d"), F.col("number_first").alias("n"), F.col("number_last").alias("n2"), F.col("flat_number").alias("f"), F.col("level_number").alias("l"))
+    return rows.groupBy("street_key").agg(F.array_sort(F.collect_list(fields)).alias("entries"))
+
+
 def visible(rows: DataFrame, street: int | None, flat: int | None, threshold: int = 100) -> DataFrame:
     """The entries that a search looks at: on split streets the hinted digit; with a flat hint all; else the smallest digit.
 

@@ -4,13 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..functions.parse import is_short, normalise, parse, token_column
 from ..operators import lookup, search, streets
-from ..sources.model import ADDRESSES_SQL, sample_addresses
+from ..functions import records
+from ..sources.model import ADDRESSES_SQL, WIDE, sample_addresses
+from ..sources.psv import street_values
+from ..sources.raw import LOCALITIES_CTE, WIDE_CTE, imported_addresses, imported_localities
 
 #: Entries a street needs before it is split by digit, for the sample data.
 THRESHOLD = 20
@@ -101,6 +104,58 @@ def _overlay(spark: SparkSession, sf: str) -> DataFrame:
     return lookup.overlay(points, polygons, 6).select("gnaf_pid", "x", "y", "layer")
 
 
+def _responses(spark: SparkSession, sf: str) -> DataFrame:
+    """The nested answers, shown field by field."""
+    r = lookup.responses(imported_addresses(spark, sf)).select("response.*")
+    number = lambda f, n: F.concat(F.coalesce(f"structured.{f}.prefix", F.lit("")), F.lit("|"), F.coalesce(F.col(f"structured.{f}.number").cast("string"), F.lit("")), F.lit("|"), F.coalesce(f"structured.{f}.suffix", F.lit(""))).alias(n)
+    named = lambda f, n: F.concat_ws("=", f"{f}.code", f"{f}.name").alias(n)
+    return r.select("pid", "sla", "ssla", F.array_join("mla", ";").alias("mla"), F.array_join("smla", ";").alias("smla"), "lpid", "precedence", F.col("structured.buildingName").alias("building"), number("lotNumber", "lot"), number("flat", "flat"), number("level", "level"), number("number", "number"), number("number.last", "last"), named("structured.flat.type", "flat_type"), named("structured.level.type", "level_type"), named("structured.street.type", "street_type"), named("structured.street.suffix", "street_suffix"), named("structured.street.class", "street_class"), named("structured.locality.class", "locality_class"), F.col("structured.postcode").alias("postcode"), F.col("structured.state.name").alias("state_name"), F.col("structured.confidence").alias("confidence"), named("geocoding.level", "geocoded_level"), F.col("geocoding.geocodes")[0]["latitude"].alias("latitude"), F.concat_ws("=", F.col("geocoding.geocodes")[0]["type"]["code"], F.col("geocoding.geocodes")[0]["type"]["name"]).alias("geocode_type"))
+
+
+def _parcel(spark: SparkSession, sf: str) -> DataFrame:
+    """The addresses of the least parcel, through the table of parcels."""
+    rows = sample_addresses(spark, sf)
+    least = rows.where("legal_parcel_id != ''").agg(F.min("legal_parcel_id")).first()[0]
+    return lookup.addresses_by_parcel(rows, least).select("gnaf_pid")
+
+
+def _script_rows(spark: SparkSession, sf: str) -> DataFrame:
+    return _streets(spark, sf).select(F.col("street_id").alias("id"), "display", "display_search", "street_key", "shard_prefix", "street_name", F.col("street_type_abbrev").alias("street_type"), F.col("street_suffix_code").alias("street_suffix"), "locality_name", "state", "postcode", "address_count", F.lit(None).cast("string").alias("digit_shards"), "num_min", "num_max", "flat_min", "flat_max")
+
+
+_quoted = lambda c: f"chr(39) || replace({c}, chr(39), chr(39) || chr(39)) || chr(39)"
+_AFF = lambda k: f"(coalesce({k}_prefix, '') || coalesce(CAST({k} AS varchar), '') || coalesce({k}_suffix, ''))"
+_SHOWN = lambda k, there: f"CASE WHEN {there} THEN coalesce({k}_prefix, '') || '|' || coalesce(CAST({k} AS varchar), '') || '|' || coalesce({k}_suffix, '') ELSE '||' END"
+_CODED = lambda c, n: f"CASE WHEN {c} IS NOT NULL THEN {c} || '=' || coalesce({n}, {c}) ELSE '' END"
+_FLAT_THERE, _LEVEL_THERE = "(flat_type_code IS NOT NULL OR flat_number IS NOT NULL)", "(level_type_code IS NOT NULL OR level_number IS NOT NULL)"
+_W_NUM = f"CASE WHEN number_first IS NOT NULL THEN {_AFF('number_first')} || CASE WHEN number_last IS NOT NULL THEN '-' || {_AFF('number_last')} ELSE '' END END"
+_W_LEAD = f"list_filter([CASE WHEN {_LEVEL_THERE} THEN trim(coalesce(level_type_name, '') || ' ' || {_AFF('level_number')}) ELSE '' END, CASE WHEN {_FLAT_THERE} THEN trim(coalesce(flat_type_name, '') || ' ' || {_AFF('flat_number')}) ELSE '' END, coalesce(building_name, '')], lambda x: x <> '')"
+_W_STREET = "street_name || CASE WHEN street_type_code IS NOT NULL THEN ' ' || coalesce(street_type_abbrev, street_type_code) ELSE '' END"
+_W_PLACE = "locality_name || ' ' || state || ' ' || coalesce(postcode, '')"
+_RESPONSE_SQL = f""", x AS (SELECT *, {_W_LEAD} AS lead_, {_W_NUM} AS num_ FROM wide),
+y AS (SELECT *, (CASE WHEN len(lead_) = 3 THEN [lead_[1] || ', ' || lead_[2], lead_[3]] ELSE lead_ END) || [coalesce(num_ || ' ', 'LOT ' || {_AFF('lot_number')} || ' ', '') || {_W_STREET} || CASE WHEN street_suffix_code IS NOT NULL THEN ' ' || coalesce(street_suffix_name, street_suffix_code) ELSE '' END, {_W_PLACE}] AS mla_,
+  CASE WHEN {_FLAT_THERE} THEN list_filter([CASE WHEN {_LEVEL_THERE} THEN trim(coalesce(level_type_code, '') || {_AFF('level_number')}) ELSE '' END], lambda x: x <> '') || [{_AFF('flat_number')} || '/' || coalesce(num_, CASE WHEN lot_number IS NOT NULL THEN {_AFF('lot_number')} END, '') || ' ' || {_W_STREET} || coalesce(' ' || street_suffix_code, ''), {_W_PLACE}] END AS smla_ FROM (SELECT * REPLACE (CASE WHEN lot_number IS NULL THEN NULL ELSE coalesce(lot_number_prefix, '') END AS lot_number_prefix) FROM x))
+SELECT gnaf_pid AS pid, array_to_string(mla_, ', ') AS sla, array_to_string(smla_, ', ') AS ssla, array_to_string(mla_, ';') AS mla, array_to_string(smla_, ';') AS smla, nullif(legal_parcel_id, '') AS lpid,
+  CASE WHEN primary_secondary IS NOT NULL THEN CASE primary_secondary WHEN 'P' THEN 'primary' ELSE 'secondary' END WHEN alias_principal = 'P' THEN 'primary' END AS precedence, building_name AS building,
+  {_SHOWN('lot_number', 'lot_number IS NOT NULL')} AS lot, {_SHOWN('flat_number', _FLAT_THERE)} AS flat, {_SHOWN('level_number', _LEVEL_THERE)} AS level, {_SHOWN('number_first', 'number_first IS NOT NULL')} AS number, {_SHOWN('number_last', 'number_first IS NOT NULL AND number_last IS NOT NULL')} AS last,
+  CASE WHEN {_FLAT_THERE} THEN coalesce(flat_type_code, '') || '=' || coalesce(flat_type_name, '') ELSE '' END AS flat_type, CASE WHEN {_LEVEL_THERE} THEN coalesce(level_type_code, '') || '=' || coalesce(level_type_name, '') ELSE '' END AS level_type,
+  {_CODED('street_type_code', 'street_type_abbrev')} AS street_type, {_CODED('street_suffix_code', 'street_suffix_name')} AS street_suffix, {_CODED('street_class_code', 'street_class_name')} AS street_class, {_CODED('locality_class_code', 'locality_class_name')} AS locality_class,
+  postcode, state_name, confidence, coalesce(CAST(level_geocoded_code AS varchar), '0') || '=' || coalesce(geocoded_level_name, '') AS geocoded_level, latitude, coalesce(geocode_type_code, '') || '=' || coalesce(geocode_type_name, '') AS geocode_type FROM y"""
+def _square(x0: float, y0: float, x1: float, y1: float) -> Column:
+    return F.array(*[F.struct(F.lit(a).alias("x"), F.lit(b).alias("y")) for a, b in ((x0, y0), (x1, y0), (x1, y1), (x0, y1))])
+
+
+def _hole(spark: SparkSession, sf: str) -> DataFrame:
+    """A square with a hole and a polygon of two parts in each tile; of their properties only the name is asked for."""
+    x, y, _, _ = C.tile(F.col("latitude"), F.col("longitude"), 6)
+    points = sample_addresses(spark, sf).select("gnaf_pid", "latitude", "longitude")
+    tiles = points.select(x.alias("x"), y.alias("y")).distinct()
+    of = lambda name, *rings: tiles.select("x", "y", F.lit("land").alias("layer"), F.create_map(F.lit("name"), F.lit(name), F.lit("size"), F.lit("5")).alias("props"), F.array(*rings).alias("rings"))
+    polygons = of("ring", _square(0.1, 0.1, 0.9, 0.9), _square(0.4, 0.4, 0.6, 0.6)).unionByName(of("two", _square(0.0, 0.3, 0.2, 0.8), _square(0.7, 0.3, 0.9, 0.8)))
+    out = lookup.overlay_by_layer(points, polygons, 6, ["name", "missing"])
+    return out.select("gnaf_pid", "layer", F.size("features").alias("n"), F.array_join("features", ";").alias("features"))
+
+
 _RAD = "radians(latitude)"
 _TX = "(longitude + 180) / 360 * 64"
 _TY = f"(1 - ln(tan({_RAD}) + 1 / cos({_RAD})) / pi()) / 2 * 64"
@@ -146,9 +201,23 @@ CATALOGUE: dict[str, tuple[Query, str | None]] = {
     "normalised_queries": (lambda s, d: _queries_of(s, d).select("raw", normalise(F.col("raw")).alias("q")), f"SELECT raw, lower(regexp_replace(regexp_replace(trim(raw), '[^a-zA-Z0-9\\s]', '', 'g'), '\\s+', ' ', 'g')) AS q FROM ({_FORMAT})"),
     "query_tokens": (lambda s, d: _queries_of(s, d).select("raw", F.array_join(token_column(F.col("raw")), "|").alias("tokens")), f"SELECT raw, array_to_string(list_filter(list_transform(regexp_split_to_array(upper(raw), '[-\\s,/]+'), lambda x: regexp_replace(x, '[^A-Za-z0-9_]', '', 'g')), lambda x: x <> ''), '|') AS tokens FROM ({_FORMAT})"),
     "capped_numbers": (lambda s, d: s.read.parquet(f"{d}/orders.parquet").select("o_orderkey", C.capped(F.col("o_orderkey").cast("int")).alias("capped")), "SELECT o_orderkey, CAST(CASE WHEN o_orderkey > 999 THEN left(CAST(o_orderkey AS varchar), 3) ELSE CAST(o_orderkey AS varchar) END AS int) AS capped FROM orders"),
-    "address_response": (lambda s, d: sample_addresses(s, d).select(F.to_json(lookup.response()).alias("json")), None),
-    "parcel_lookup": (lambda s, d: lookup.addresses_by_parcel(sample_addresses(s, d), "7/DP7").select("gnaf_pid"), f"WITH {A} SELECT gnaf_pid FROM a WHERE legal_parcel_id = '7/DP7'"),
-    "street_drilldown": (lambda s, d: lookup.street_entries(_entries(s, d), "RED|ST||NATION 3|ASIA|2003"), f"WITH {E} SELECT * FROM e WHERE street_key = 'RED|ST||NATION 3|ASIA|2003'"),
+    "imported_localities": (imported_localities, f"WITH {LOCALITIES_CTE} SELECT * FROM localities"),
+    "imported_addresses": (imported_addresses, f"WITH {WIDE_CTE} SELECT {', '.join(WIDE)} FROM wide"),
+    "address_response": (_responses, f"WITH {WIDE_CTE} {_RESPONSE_SQL}"),
+    "parcel_lookup": (_parcel, f"WITH {A} SELECT gnaf_pid FROM a WHERE legal_parcel_id = (SELECT min(legal_parcel_id) FROM a WHERE legal_parcel_id <> '')"),
+    "address_by_id": (lambda s, d: (lambda rows: lookup.address_by_pid(rows, rows.agg(F.min("gnaf_pid")).first()[0].lower()).select("gnaf_pid", "number_first", "flat_number"))(sample_addresses(s, d)), f"WITH {A} SELECT gnaf_pid, number_first, flat_number FROM a WHERE gnaf_pid = (SELECT min(gnaf_pid) FROM a) ORDER BY number_first NULLS FIRST, flat_number NULLS FIRST LIMIT 1"),
+    "street_by_id": (lambda s, d: lookup.street_by_id(_streets(s, d), 7).select("street_id", "street_key", "display"), f"WITH {S} SELECT street_id, street_key, display FROM s WHERE street_id = 7"),
+    "street_drilldown": (lambda s, d: lookup.drill_down(_streets(s, d), streets.with_digits(_entries(s, d), THRESHOLD), 7), f"WITH {E} SELECT gnaf_pid AS p, {_SLA} AS s FROM e JOIN s USING (street_key) WHERE street_id = 7"),
+    "street_drilldown_digit": (lambda s, d: lookup.drill_down(_streets(s, d), streets.with_digits(_entries(s, d), 2), 7, "1"), f"WITH {E}, n AS (SELECT *, count(*) OVER (PARTITION BY street_key) AS entries FROM e) SELECT gnaf_pid AS p, {_SLA} AS s FROM n JOIN s USING (street_key) WHERE street_id = 7 AND (entries <= 2 OR number_first IS NULL OR starts_with(CAST(number_first AS varchar), '1'))"),
+    "digit_maps": (lambda s, d: streets.digit_maps(_entries(s, d), THRESHOLD).select("street_key", F.to_json("digit_shards").alias("digit_shards")), f"WITH {D}, f AS (SELECT DISTINCT street_key, digit, left(md5(street_key || '|' || digit), 3) AS prefix FROM d WHERE digit IS NOT NULL) SELECT street_key, '{{' || string_agg('\"' || digit || '\":\"' || prefix || '\"', ',' ORDER BY digit) || '}}' AS digit_shards FROM f GROUP BY 1"),
+    "street_files": (lambda s, d: streets.street_files(_entries(s, d), THRESHOLD).select("prefix", F.array_join("keys", ";").alias("keys")), f"WITH {D}, k AS (SELECT DISTINCT street_key || coalesce('|' || digit, '') AS key FROM d) SELECT left(md5(key), 3) AS prefix, string_agg(key, ';' ORDER BY key) AS keys FROM k GROUP BY 1"),
+    "collected_entries": (lambda s, d: streets.collected_entries(_entries(s, d)).select("street_key", F.array_join("entries.p", ",").alias("pids"), F.size("entries").alias("n")), f"WITH {E} SELECT street_key, string_agg(gnaf_pid, ',' ORDER BY gnaf_pid) AS pids, CAST(count(*) AS int) AS n FROM e GROUP BY 1"),
+    "shard_records": (lambda s, d: lookup.shard_records(imported_addresses(s, d)).select("prefix", F.size("records").alias("n"), F.array_join(F.array_sort(F.map_keys("records")), ",").alias("pids")), f"WITH {WIDE_CTE} SELECT left(md5(gnaf_pid), 3) AS prefix, CAST(count(DISTINCT gnaf_pid) AS int) AS n, string_agg(DISTINCT gnaf_pid, ',' ORDER BY gnaf_pid) AS pids FROM wide GROUP BY 1"),
+    "overlay_with_hole": (_hole, f"WITH {A}, p AS (SELECT gnaf_pid, {_TX} - floor({_TX}) AS fx, {_TY} - floor({_TY}) AS fy FROM a) SELECT gnaf_pid, 'land' AS layer, CAST(count(*) AS int) AS n, string_agg(shown, ';' ORDER BY shown) AS features FROM (SELECT gnaf_pid, '{{\"name\":\"ring\"}}' AS shown FROM p WHERE fx BETWEEN 0.1 AND 0.9 AND fy BETWEEN 0.1 AND 0.9 AND NOT (fx BETWEEN 0.4 AND 0.6 AND fy BETWEEN 0.4 AND 0.6) UNION ALL SELECT gnaf_pid, '{{\"name\":\"two\"}}' FROM p WHERE (fx BETWEEN 0.0 AND 0.2 OR fx BETWEEN 0.7 AND 0.9) AND fy BETWEEN 0.3 AND 0.8) GROUP BY 1"),
+    "shard_prefix_part": (lambda s, d: (lambda rows: rows.where(F.col("shard").startswith("a")).groupBy("shard").agg(F.count(F.lit(1)).alias("n")))(sample_addresses(s, d).select(C.shard(F.col("gnaf_pid")).alias("shard"))), f"WITH {A} SELECT left(md5(gnaf_pid), 3) AS shard, count(*) AS n FROM a WHERE left(md5(gnaf_pid), 1) = 'a' GROUP BY 1"),
+    "import_counts": (lambda s, d: imported_addresses(s, d).agg(F.count(F.lit(1)).alias("addresses"), F.count_distinct(C.shard(F.col("gnaf_pid"))).alias("shards"), F.count_distinct(F.when(F.col("legal_parcel_id") != "", C.shard(F.col("legal_parcel_id")))).alias("parcel_shards")), f"WITH {WIDE_CTE} SELECT count(*) AS addresses, count(DISTINCT left(md5(gnaf_pid), 3)) AS shards, count(DISTINCT CASE WHEN legal_parcel_id <> '' THEN left(md5(legal_parcel_id), 3) END) AS parcel_shards FROM wide"),
+    "shard_names": (lambda s, d: s.range(4096).select(F.lpad(F.lower(F.hex("id")), 3, "0").alias("prefix")), "SELECT lpad(lower(to_hex(i)), 3, '0') AS prefix FROM range(4096) t(i)"),
+    "street_insert_rows": (lambda s, d: street_values(_script_rows(s, d)), f"WITH {S} SELECT street_id AS id, '(' || concat_ws(',', CAST(street_id AS varchar), {_quoted('display')}, {_quoted('display_search')}, {_quoted('street_key')}, {_quoted('shard_prefix')}, {_quoted('street_name')}, {_quoted('street_type_abbrev')}, coalesce({_quoted('street_suffix_code')}, 'NULL'), {_quoted('locality_name')}, {_quoted('state')}, coalesce({_quoted('postcode')}, 'NULL'), CAST(address_count AS varchar), 'NULL', " + ", ".join(f"coalesce(CAST({c} AS varchar), 'NULL')" for c in ("num_min", "num_max", "flat_min", "flat_max")) + ") || ')' AS row FROM s"),
     "tile_coordinates": (lambda s, d: sample_addresses(s, d).select("gnaf_pid", *[c.alias(n) for c, n in zip(C.tile(F.col("latitude"), F.col("longitude"), 6)[:2], ("x", "y"))]), f"WITH {A} SELECT gnaf_pid, CAST(floor({_TX}) AS int) AS x, CAST(floor({_TY}) AS int) AS y FROM a"),
     "polygon_overlay": (_overlay, f"WITH {A}, p AS (SELECT gnaf_pid, {_TX} AS tx, {_TY} AS ty FROM a) SELECT gnaf_pid, CAST(floor(tx) AS int) AS x, CAST(floor(ty) AS int) AS y, 'square' AS layer FROM p WHERE tx - floor(tx) BETWEEN 0.1 AND 0.9 AND ty - floor(ty) BETWEEN 0.1 AND 0.9"),
 }

@@ -56,20 +56,32 @@ def localities(raw: dict[str, DataFrame]) -> DataFrame:
     return rows.join(points, "locality_pid", "left").groupBy(*keys).agg(F.avg("lat").alias("latitude"), F.avg("lng").alias("longitude"))
 
 
+#: Columns of the wide table, in order.
+WIDE = """gnaf_pid alias_principal primary_secondary building_name lot_number_prefix lot_number lot_number_suffix flat_type_code flat_type_name
+flat_number_prefix flat_number flat_number_suffix level_type_code level_type_name level_number_prefix level_number level_number_suffix
+number_first_prefix number_first number_first_suffix number_last_prefix number_last number_last_suffix street_name street_type_code street_type_abbrev
+street_suffix_code street_suffix_name street_class_code street_class_name locality_name locality_class_code locality_class_name locality_postcode postcode
+state state_name latitude longitude geocode_type_code geocode_type_name level_geocoded_code geocoded_level_name confidence legal_parcel_id
+mb_2016_code mb_2021_code""".split()
+
+
 def addresses(raw: dict[str, DataFrame], places: DataFrame) -> DataFrame:
-    """The wide address table: three inner joins, labels from authority tables, mesh blocks (which may repeat an address)."""
+    """The wide address table of 47 columns: three inner joins, labels from authority tables, mesh blocks (which may repeat an address).
+
+    Only the columns it has are taken from the raw tables; an address keeps its own postcode beside its locality's.
+    """
     detail = raw["address_detail"].where("try_cast(confidence as int) > -1")
     street = raw["street_locality"].select("street_locality_pid", "street_name", "street_type_code", "street_suffix_code", "street_class_code")
-    place = places.select("locality_pid", "locality_name", F.col("postcode").alias("locality_postcode"), "state")
+    place = places.select("locality_pid", "locality_name", "locality_class_code", "locality_class_name", F.col("postcode").alias("locality_postcode"), "state", "state_name")
     point = raw["address_default_geocode"].select("address_detail_pid", F.expr("try_cast(latitude as double)").alias("latitude"), F.expr("try_cast(longitude as double)").alias("longitude"), "geocode_type_code")
     out = detail.join(street, "street_locality_pid").join(place, "locality_pid").join(point, "address_detail_pid")
     labels = {"geocode_type_aut": ("geocode_type_code", "geocode_type_name"), "flat_type_aut": ("flat_type_code", "flat_type_name"), "level_type_aut": ("level_type_code", "level_type_name"), "street_type_aut": ("street_type_code", "street_type_abbrev"), "street_suffix_aut": ("street_suffix_code", "street_suffix_name"), "street_class_aut": ("street_class_code", "street_class_name")}
     for table, (code, name) in labels.items():
         out = out.join(raw[table].select(F.col("code").alias(code), F.col("name").alias(name)), code, "left")
-    level = raw["geocoded_level_type_aut"].select(F.expr("try_cast(code as int)").alias("level_key"), F.col("name").alias("level_geocoded_name"))
-    out = out.join(level, F.expr("try_cast(level_geocoded_code as int)") == F.col("level_key"), "left").drop("level_key")
+    level = raw["geocoded_level_type_aut"].select(F.expr("try_cast(code as int)").alias("level_key"), F.col("name").alias("geocoded_level_name"))
+    out = out.join(level, F.expr("try_cast(level_geocoded_code as int)") == F.col("level_key"), "left")
     for year in ("2016", "2021"):
         blocks = raw[f"address_mesh_block_{year}"].join(raw[f"mb_{year}"], f"mb_{year}_pid").select("address_detail_pid", f"mb_{year}_code")
         out = out.join(blocks, "address_detail_pid", "left")
     numbers = {c: whole_number(c) for c in ("flat_number", "level_number", "number_first", "number_last", "level_geocoded_code", "confidence")}
-    return out.withColumns(numbers).withColumnRenamed("address_detail_pid", "gnaf_pid").withColumn("postcode", F.coalesce("postcode", "locality_postcode"))
+    return out.withColumns(numbers).withColumnRenamed("address_detail_pid", "gnaf_pid").select(*WIDE)

@@ -1 +1 @@
-
+"""Streams that keep answers and counts up to date."""

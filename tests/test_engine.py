@@ -92,3 +92,78 @@ def test_every_short_query_is_answered(spark):
             found += [(int(k > 0 and not (p and p.numbers)), *x) for k, x in enumerate(sorted(ranked))]
         assert sorted(got.get((q, "address"), [])) == [(i + 1, x[4], x[3], -x[1]) for i, x in enumerate(sorted(found)[:limit])], q
     assert not any((q, k) in got for q in ("m", "1 m", "12 l", "se") for k in ("street", "address"))
+
+
+def test_archives_versions_and_counts(spark, tmp_path):
+    rows = [("GDA94 feb", "ZIP", "active", "2024-02-01T00:00:00", "2020-01-01T00:00:00"), ("gda94 new", "ZIP", "active", None, "2024-05-01T00:00:00"), ("GDA94 old", "ZIP", "deleted", "2025-01-01T00:00:00", None), ("GDA2020", "ZIP", "active", "2025-01-01T00:00:00", None), ("GDA94 txt", "TXT", "active", "2025-01-01T00:00:00", None)]
+    df = spark.createDataFrame(rows, "name string, format string, state string, last_modified string, created string")
+    assert [r.name for r in psv.newest_archive(df, "GDA94").collect()] == ["gda94 new"] and psv.newest_archive(df, "AGD66").count() == 0
+    assert psv.version_of("2024-05-06T07:08:09Z", "GDA94") == "v20240506-gda94"
+    assert not psv.exists(spark, str(tmp_path / "none")) and not psv.exists(spark, str(tmp_path))
+    (tmp_path / "x").write_text("1")
+    assert psv.exists(spark, str(tmp_path)) and psv.exists(spark, str(tmp_path / "x"))
+    parts = spark.createDataFrame([(100, 3, 2), (100, 5, 1)], "totalAddresses long, totalShards long, totalLotDpShards long")
+    assert [tuple(r) for r in psv.merged_counts(parts).collect()] == [(100, 8, 3)]
+    shards = spark.createDataFrame([("a01",), ("b22",), ("a9f",)], "s string")
+    assert psv.with_prefix(shards, "s", "a").count() == 2 and psv.with_prefix(shards, "s", None).count() == 3
+
+
+def test_sql_script(spark):
+    import sqlite3
+
+    from larkspur.plans.catalogue import _script_rows
+
+    rows = _script_rows(spark, DATA).withColumn("display", psv.F.concat(psv.F.lit("O'"), "display")).persist()
+    script = "\n".join(r.value for r in psv.sql_script(rows, 7).orderBy("statement").collect())
+    con = sqlite3.connect(":memory:")
+    con.executescript(script)
+    assert sorted(map(repr, con.execute(f"SELECT {', '.join(psv.STREET_COLUMNS)} FROM streets").fetchall())) == sorted(repr(tuple(r)) for r in rows.select(*psv.STREET_COLUMNS).collect())
+
+
+def test_layer_settings():
+    from larkspur.operators.lookup import layer_settings
+
+    assert layer_settings('[{"name": "a"}]') == layer_settings('[{\\"name\\": \\"a\\"}]') == [{"name": "a"}]
+    assert layer_settings("no") == layer_settings("{}") == []
+
+
+def test_whole_answers(spark, tmp_path):
+    from larkspur.functions.highlight import highlight
+    from larkspur.operators import search
+    from larkspur.operators.answer import answer, checked
+    from larkspur.plans.catalogue import _entries, _streets
+
+    streets, entries = _streets(spark, DATA).persist(), _entries(spark, DATA).persist()
+    index = search.postings(streets).persist()
+    ask = lambda q, limit=5, **more: answer(spark, streets, index, entries, q, limit, 20, **more)
+    with pytest.raises(ValueError):
+        ask("  ")
+    assert checked(" a ", "99") == ("a", 50) and ask("q") == ask("--") == {"streets": [], "addresses": []}
+    got = ask("5 red st")
+    assert 0 < len(got["streets"]) <= 5 and 0 < len(got["addresses"]) <= 5
+    assert [a["gnaf_pid"] for a in got["addresses"]] == [r.gnaf_pid for r in search.search(streets, index, entries, "5 red st", 5, 20).collect()]
+    for s in got["streets"]:
+        assert "RED" in [s["display"][a:b] for a, b in s["highlight"]]
+    for a in got["addresses"]:
+        assert a["highlight"] and all(0 <= x < y <= len(a["sla"]) for x, y in a["highlight"])
+    assert ask("12")["streets"] == [] and ask("12")["addresses"]
+    assert highlight("5 RED ST, X", {"prefix": "5", "street_name": "RED", "street_type": "ST", "street_suffix": None, "locality": "X", "state": "S", "postcode": None}, "5 re") == [(0, 1), (2, 4)]
+    where = str(tmp_path / "ready")
+    ready = search.precomputed(streets, entries, 4, 20).where("q in ('r', '12')")
+    psv.write_answers(ready, where)
+    assert psv.read_answer(spark, where, "r").count() == ready.where("q = 'r'").count() and psv.read_answer(spark, str(tmp_path / "no"), "r") is None
+    short = ask("R", precomputed=where)
+    assert [x["text"] for x in short["streets"]] == [r.text for r in ready.where("q = 'r' and kind = 'street'").orderBy("place").collect()]
+
+
+def test_stream_goes_on_where_it_stopped(spark, tmp_path):
+    from larkspur.streaming.warm import answer_stream, write_queue
+
+    queue, target, mark = (str(tmp_path / x) for x in ("queue", "answers", "mark"))
+    write_queue(spark.createDataFrame([(f"q{i}",) for i in range(20)], "q string"), queue, 5)
+    run = lambda: answer_stream(spark, queue, lambda b: b.selectExpr("q", "length(q) as n"), target, mark).awaitTermination(120)
+    run()
+    assert spark.read.parquet(target).count() == 20 and spark.read.parquet(target).select("batch").distinct().count() > 1
+    spark.createDataFrame([("new",)], "q string").write.mode("append").parquet(queue)
+    run()
+    assert sorted(r.q for r in spark.read.parquet(target).collect()) == sorted([*(f"q{i}" for i in range(20)), "new"])
