@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from .words import FULL, LEVEL_WORDS, SYNONYMS, UNIT_WORDS
 
+# What counts as a number, as a flat, and as a flat before a number.
 _NUMBER = re.compile(r"\d+[A-Z]?", re.A)
 _FLAT_ID = re.compile(r"[A-Z]|[A-Z]{1,3}\d+", re.A)
 _FLAT_LEAD = re.compile(r"\s*[A-Z]{1,3}\d*\s*[/,]\s*\d", re.A | re.I)

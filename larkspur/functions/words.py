@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 # Public authority codes, as (full form, abbreviation) for street types and (code, name) for the rest, then
-# informal aliases as (alias, term).
+# informal aliases as (alias, term), which are no public codes but the choice that answers must agree with.
 STREET_TYPES = (
     ("ACCESS", "ACCS"), ("AIRWALK", "AWLK"), ("ALLEY", "ALLY"), ("ALLEYWAY", "ALWY"), ("AMBLE", "AMBL"),
     ("APPROACH", "APP"), ("ARCADE", "ARC"), ("ARTERIAL", "ARTL"), ("ARTERY", "ARTY"), ("AVENUE", "AV"),

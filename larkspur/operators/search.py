@@ -10,7 +10,9 @@ from pyspark.sql.window import Window
 
 from ..functions.columns import capped, score_column, single_line, tier
 from ..functions.parse import Query, Term, parse
-from .streets import visible, with_digits
+from .streets import entries as to_entries
+from .streets import streets as to_streets
+from .streets import visible, with_digits, with_ids
 
 #: BM25 parameters, and the least weight of a term.
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
@@ -35,23 +37,30 @@ def _hits(index: DataFrame, term: Term) -> DataFrame:
 
     def at(k: int) -> DataFrame:
         match = F.col("token").startswith(parts[k]) if term.prefix and k == len(parts) - 1 else F.col("token") == parts[k]
-        return index.where(match).select("street_id", (F.col("pos") - k).alias("pos"))
+        return index.where(match).select("street_id", (F.col("pos") - k).alias("pos"), *(["length"] if k == 0 else []))
 
     found = reduce(lambda a, b: a.join(b, ["street_id", "pos"]), [at(k) for k in range(len(parts))])
-    return found.groupBy("street_id").agg(F.count(F.lit(1)).alias("tf"))
+    return found.groupBy("street_id").agg(F.count(F.lit(1)).alias("tf"), F.max("length").alias("length"))
 
 
-def bm25(index: DataFrame, q: Query) -> DataFrame:
-    """(street_id, rank) of streets that match every group of the query; smaller ranks are better."""
-    sizes = index.groupBy("street_id").agg(F.max("length").alias("length"))
-    total = sizes.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("length").alias("mean"))
+def statistics(index: DataFrame) -> DataFrame:
+    """One row: the number of streets that are indexed, and their mean length in tokens."""
+    return index.where("pos = 0").agg(F.count(F.lit(1)).alias("n_docs"), F.avg("length").alias("mean"))
+
+
+def bm25(index: DataFrame, q: Query, total: DataFrame | None = None) -> DataFrame:
+    """(street_id, rank) of streets that match every group of the query; smaller ranks are better.
+
+    total: statistics(), if they are kept. Of the index only the rows of the query's words are read.
+    """
+    total = statistics(index) if total is None else total
     terms = []
     for g, group in enumerate(q.groups):
         for t, term in enumerate(group):
             terms.append(_hits(index, term).withColumn("g", F.lit(g)).withColumn("t", F.lit(t)))
     hits = reduce(DataFrame.unionByName, terms)
     df = hits.groupBy("g", "t").agg(F.count(F.lit(1)).alias("df"))
-    scored = hits.join(F.broadcast(df), ["g", "t"]).join(sizes, "street_id").join(F.broadcast(total))  # one row
+    scored = hits.join(F.broadcast(df), ["g", "t"]).join(F.broadcast(total))  # one row
     idf = F.greatest(F.ln((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(LEAST_IDF))
     part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean")))
     out = scored.groupBy("street_id").agg((-F.sum(part)).alias("rank"), F.count_distinct("g").alias("groups"))
@@ -67,7 +76,7 @@ def bonus(q: Query) -> Column:
     return name + at + flat + tier(F.col("address_count"))
 
 
-def street_hits(streets: DataFrame, index: DataFrame, q: Query, limit: int) -> DataFrame:
+def street_hits(streets: DataFrame, index: DataFrame, q: Query, limit: int, total: DataFrame | None = None) -> DataFrame:
     """The best streets for a query, with street_rank from 1: by prefix alone for one letter, else by BM25 less the bonus."""
     if len(q.words) == 1 and len(q.words[0]) == 1:
         rows = streets.where(F.col("street_name").startswith(q.words[0]))
@@ -76,7 +85,7 @@ def street_hits(streets: DataFrame, index: DataFrame, q: Query, limit: int) -> D
                 rows = rows.where(capped(F.lit(hint)).between(F.col(low), F.col(high)))
         rows = rows.withColumn("_sort", -F.col("address_count").cast("double"))
     else:
-        rows = streets.join(bm25(index, q), "street_id").withColumn("_sort", F.col("rank") - bonus(q))
+        rows = streets.join(bm25(index, q, total), "street_id").withColumn("_sort", F.col("rank") - bonus(q))
     best = rows.orderBy("_sort", "street_id").limit(limit)
     return best.withColumn("street_rank", F.row_number().over(Window.orderBy("_sort", "street_id"))).drop("_sort")
 
@@ -88,7 +97,7 @@ def diversified(rows: DataFrame, limit: int) -> DataFrame:
     return rows.withColumn("_turn", F.when(first == 1, 0).otherwise(1)).orderBy("_turn", *order).limit(limit).drop("_turn")
 
 
-def search(streets: DataFrame, index: DataFrame, entries: DataFrame, query: str, limit: int = 10, threshold: int = 100) -> DataFrame | None:
+def search(streets: DataFrame, index: DataFrame, entries: DataFrame, query: str, limit: int = 10, threshold: int = 100, total: DataFrame | None = None) -> DataFrame | None:
     """The best addresses for a free-text query, with score, street_rank and their text on one line; None if it has no words."""
     limit = min(limit, MOST)
     if query.strip().isascii() and query.strip().isdigit():
@@ -96,7 +105,7 @@ def search(streets: DataFrame, index: DataFrame, entries: DataFrame, query: str,
     q = parse(query)
     if q is None:
         return None
-    found = street_hits(streets, index, q, max(30, 3 * limit) if q.numbers else limit)
+    found = street_hits(streets, index, q, max(30, 3 * limit) if q.numbers else limit, total)
     picked = visible(entries.join(F.broadcast(found.select("street_key")), "street_key", "left_semi"), q.street, q.flat, threshold)  # at most 150 streets
     rows = picked.join(F.broadcast(found), "street_key").withColumn("score", score_column(q)).where("score > 0")
     out = diversified(rows, limit) if not q.numbers else rows.orderBy(F.desc("score"), "street_rank", "gnaf_pid").limit(limit)
@@ -113,6 +122,37 @@ def number_search(streets: DataFrame, entries: DataFrame, number: int, limit: in
     return diversified(rows, limit).withColumn("sla", single_line()).select("gnaf_pid", "street_id", "street_rank", "score", "sla")
 
 
+def streets_of_numbers(streets: DataFrame, numbers: DataFrame) -> DataFrame:
+    """(number, street_id) of streets whose range holds each number: ranges are spread over tens, so the join is on equality."""
+    asked = numbers.select("number", F.floor(F.col("number") / 10).cast("int").alias("ten"))
+    low, high = (F.floor(F.col(c) / 10).cast("int") for c in ("num_min", "num_max"))
+    rows = streets.where("num_min <= num_max").select("street_id", "num_min", "num_max", F.explode(F.sequence(low, high)).alias("ten"))
+    return asked.join(rows, "ten").where("number between num_min and num_max").select("number", "street_id")
+
+
+def streets_of_beginnings(streets: DataFrame, letters: int = 2, limit: int = 10) -> DataFrame:
+    """(q, street_id, score, place): the best streets whose name, locality or state begins with each text of so many letters."""
+    rows = streets.select("street_id", "address_count", "street_name", F.explode(F.array_distinct(F.array(*[F.lower(F.left(c, F.lit(letters))) for c in ("street_name", "locality_name", "state")]))).alias("q"))
+    points = F.when(F.lower("street_name") == F.col("q"), 115).when(F.lower("street_name").startswith(F.col("q")), 10).otherwise(0) + tier(F.col("address_count"))
+    ranked = _best(rows.withColumn("score", points), limit, ["q"], F.desc("score"), F.desc("address_count"), F.col("street_id"))
+    return ranked.select("q", "street_id", F.col("score").cast("int").alias("score"), "place")
+
+
+def write_index(addresses: DataFrame, folder: str) -> None:
+    """The standing index: streets, their entries, postings in the order of tokens, and statistics, each a table of `folder`."""
+    with_ids(to_streets(addresses)).write.mode("overwrite").parquet(f"{folder}/streets")
+    streets = addresses.sparkSession.read.parquet(f"{folder}/streets")
+    to_entries(addresses).repartition("street_key").sortWithinPartitions("street_key").write.mode("overwrite").parquet(f"{folder}/entries")
+    index = postings(streets)
+    index.repartitionByRange("token").sortWithinPartitions("token").write.mode("overwrite").parquet(f"{folder}/postings")
+    statistics(index).write.mode("overwrite").parquet(f"{folder}/statistics")
+
+
+def read_index(spark, folder: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(streets, postings, entries, statistics) of write_index(); filters on tokens and streets reach the files."""
+    return tuple(spark.read.parquet(f"{folder}/{t}") for t in ("streets", "postings", "entries", "statistics"))
+
+
 def short_queries(spark) -> DataFrame:
     """All 3,672 queries that are answered in advance: letters, digits, pairs, and numbers with a letter."""
     letters = spark.range(26).select(F.char(F.col("id") + 97).alias("l"))

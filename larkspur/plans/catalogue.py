@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import columns as C
 from ..functions.parse import is_short, normalise, parse, token_column
 from ..operators import lookup, search, streets
+from ..session import new_folder
 from ..functions import records
 from ..sources.model import ADDRESSES_SQL, WIDE, sample_addresses
 from ..sources.psv import street_values
@@ -55,16 +56,31 @@ def _localities(spark: SparkSession, sf: str) -> DataFrame:
     return rows.groupBy(F.col("n_name").alias("locality_name"), F.col("r_name").alias("state")).agg(F.round(F.avg("s_acctbal"), 4).alias("mean_point"), F.count("s_suppkey").alias("points"))
 
 
+#: Folder of the standing index of the sample tables, by application and place of the tables.
+_INDEXES: dict[tuple[str, str], str] = {}
+
+
+def _index(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(streets, postings, entries, statistics), written once an application."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _INDEXES:
+        folder = new_folder(spark, "index")
+        search.write_index(sample_addresses(spark, sf), folder)
+        _INDEXES[key] = folder
+    return search.read_index(spark, _INDEXES[key])
+
+
 def _search(query: str, limit: int = 10) -> Query:
     def run(spark: SparkSession, sf: str) -> DataFrame:
-        rows = _streets(spark, sf).persist()  # the index and each strategy read it again
-        return search.search(rows, search.postings(rows).persist(), _entries(spark, sf), query, limit, THRESHOLD)
+        rows, index, entries, total = _index(spark, sf)
+        return search.search(rows, index, entries, query, limit, THRESHOLD, total)
 
     return run
 
 
 def _bm25(spark: SparkSession, sf: str) -> DataFrame:
-    return search.bm25(search.postings(_streets(spark, sf)).persist(), parse("red st")).select("street_id", F.round("rank", 6).alias("rank"))
+    _, index, _, total = _index(spark, sf)
+    return search.bm25(index, parse("red st"), total).select("street_id", F.round("rank", 6).alias("rank"))
 
 
 def _bonus(spark: SparkSession, sf: str) -> DataFrame:
@@ -76,20 +92,12 @@ def _scores(query: str) -> Query:
 
 
 def _precompute(spark: SparkSession, sf: str) -> DataFrame:
-    """Streets of each two-letter query by name, locality or state; the first two letters make it an equi-join."""
-    rows = _streets(spark, sf).select("street_id", "address_count", "street_name", F.explode(F.array_distinct(F.array(*[F.lower(F.left(c, F.lit(2))) for c in ("street_name", "locality_name", "state")]))).alias("q"))
-    points = F.when(F.lower("street_name") == F.col("q"), 115).when(F.lower("street_name").startswith(F.col("q")), 10).otherwise(0) + C.tier(F.col("address_count"))
-    from pyspark.sql.window import Window
-
-    ranked = rows.withColumn("score", points).withColumn("place", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), F.desc("address_count"), "street_id")))
-    return ranked.where("place <= 10").select("q", "street_id", F.col("score").cast("int").alias("score"), "place")
+    return search.streets_of_beginnings(_streets(spark, sf))
 
 
 def _range_join(spark: SparkSession, sf: str) -> DataFrame:
-    """Streets whose range holds each of the numbers 1, 6, ..., 51: ranges are spread over tens, so the join is on equality."""
-    numbers = spark.range(1, 52, 5).select(F.col("id").cast("int").alias("number"), (F.col("id") / 10).cast("int").alias("ten"))
-    rows = _streets(spark, sf).where("num_min is not null").select("street_id", "num_min", "num_max", F.explode(F.sequence((F.col("num_min") / 10).cast("int"), (F.col("num_max") / 10).cast("int"))).alias("ten"))
-    return numbers.join(rows, "ten").where("number between num_min and num_max").select("number", "street_id")
+    """All one- and two-digit numbers."""
+    return search.streets_of_numbers(_streets(spark, sf), spark.range(100).select(F.col("id").cast("int").alias("number")))
 
 
 def _queries_of(spark: SparkSession, sf: str) -> DataFrame:
@@ -185,9 +193,9 @@ CATALOGUE: dict[str, tuple[Query, str | None]] = {
     "short_address_lines": (lambda s, d: sample_addresses(s, d).select("gnaf_pid", F.array_join(C.short_lines(), "; ").alias("smla")), f"WITH {A} SELECT gnaf_pid, CASE WHEN flat_type_code IS NOT NULL THEN array_to_string(list_filter([coalesce(level_type_code, '') || coalesce(CAST(level_number AS varchar), '')], lambda x: x <> '') || [flat_number || '/' || coalesce(CAST(number_first AS varchar) || coalesce('-' || CAST(number_last AS varchar), ''), lot_number, '') || ' ' || street_name || ' ' || street_type_abbrev || coalesce(' ' || street_suffix_code, ''), {_PLACE}], '; ') END AS smla FROM a"),
     "single_line_addresses": (lambda s, d: sample_addresses(s, d).withColumn("display_prefix", C.display_prefix()).select("gnaf_pid", C.single_line().alias("sla")), f"WITH {A} SELECT gnaf_pid, {_SLA} AS sla FROM (SELECT *, {_PREFIX} AS display_prefix FROM a)"),
     "streets_with_number": (lambda s, d: _streets(s, d).where(F.lit(12).between(F.col("num_min"), F.col("num_max"))).orderBy(F.desc("address_count"), "street_id").limit(30).select("street_id", "address_count"), f"WITH {S} SELECT street_id, address_count FROM s WHERE 12 BETWEEN num_min AND num_max ORDER BY address_count DESC, street_id LIMIT 30"),
-    "number_range_join": (_range_join, f"WITH {S} SELECT CAST(number AS int) AS number, street_id FROM range(1, 52, 5) r(number) JOIN s ON number BETWEEN num_min AND num_max"),
+    "number_range_join": (_range_join, f"WITH {S} SELECT CAST(number AS int) AS number, street_id FROM range(100) r(number) JOIN s ON number BETWEEN num_min AND num_max"),
     "number_search": (lambda s, d: search.number_search(_streets(s, d), _entries(s, d), 12), f"WITH {E}, b AS (SELECT *, row_number() OVER (ORDER BY address_count DESC, street_id) AS street_rank FROM s WHERE 12 BETWEEN num_min AND num_max QUALIFY street_rank <= 30), r AS (SELECT *, {_NUMBER_SCORE} AS score, {_SLA} AS sla FROM e JOIN b USING (street_key) WHERE {_NUMBER_SCORE} > 0), t AS (SELECT *, CASE WHEN row_number() OVER (PARTITION BY street_key ORDER BY score DESC, street_rank, gnaf_pid) = 1 THEN 0 ELSE 1 END AS turn FROM r) SELECT gnaf_pid, street_id, CAST(street_rank AS int) AS street_rank, score, sla FROM t ORDER BY turn, score DESC, street_rank, gnaf_pid LIMIT 10"),
-    "prefix_street_search": (lambda s, d: (lambda rows: search.street_hits(rows, search.postings(rows), parse("5 r"), 10))(_streets(s, d)).select("street_id", "street_rank"), f"WITH {S} SELECT street_id, CAST(row_number() OVER (ORDER BY address_count DESC, street_id) AS int) AS street_rank FROM s WHERE starts_with(street_name, 'R') AND 5 BETWEEN num_min AND num_max ORDER BY street_rank LIMIT 10"),
+    "prefix_street_search": (lambda s, d: (lambda rows: search.street_hits(rows, search.postings(rows), parse("5 r"), 10))(_index(s, d)[0]).select("street_id", "street_rank"), f"WITH {S} SELECT street_id, CAST(row_number() OVER (ORDER BY address_count DESC, street_id) AS int) AS street_rank FROM s WHERE starts_with(street_name, 'R') AND 5 BETWEEN num_min AND num_max ORDER BY street_rank LIMIT 10"),
     "street_bm25": (_bm25, f"WITH {_BM25}"),
     "street_bonus": (_bonus, f"WITH {S} SELECT street_id, {_BONUS} AS bonus FROM s"),
     "scores_number": (_scores("5 red st"), f"WITH {E} SELECT CASE WHEN number_first = 5 OR 5 BETWEEN number_first AND number_last THEN CASE WHEN coalesce(flat_number, level_number) IS NOT NULL THEN 90 ELSE 100 END WHEN coalesce(flat_number, level_number) = 5 THEN 80 WHEN contains(display_prefix, '5') THEN 30 ELSE 0 END AS score, count(*) AS n FROM e GROUP BY 1"),

@@ -50,10 +50,9 @@ def read_psv(spark: SparkSession, paths: list[str]) -> DataFrame | None:
     """
     if not paths:
         return None
-    spark.conf.set("spark.sql.csv.parser.columnPruning.enabled", "false")
     header = spark.read.option("sep", "|").option("header", True).csv(paths[0]).columns
     schema = StructType([StructField(c.lower(), StringType()) for c in header])
-    return spark.read.schema(schema).option("sep", "|").option("header", True).option("enforceSchema", True).option("mode", "DROPMALFORMED").option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(paths)
+    return spark.read.schema(schema).option("sep", "|").option("header", True).option("enforceSchema", True).option("columnPruning", False).option("mode", "DROPMALFORMED").option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(paths)
 
 
 def write_shards(df: DataFrame, shard: str, path: str, form: str = "parquet") -> None:
