@@ -207,7 +207,7 @@ def cut(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None, end_
                 yield pa.RecordBatch.from_arrays([rows.column("doc_id").take(pa.array(doc)), pa.array(piece.astype(np.int32)), pa.array(start), pa.array(length), pa.array(crc, pa.int64())], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), whole(text_col).alias("text"))
-    return rows.mapInArrow(frugal(pieces), "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return rows.mapInArrow(frugal(pieces, "tokens"), "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 def pack(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 import re
 import uuid
 from collections.abc import Callable, Iterator
@@ -79,10 +80,23 @@ def give_back() -> None:
         trim(0)
 
 
-def frugal(run: Callable) -> Callable:
-    """A function for mapInArrow that gives back memory when its task ends."""
+_MEMORIES: dict[str, dict] = {}
+
+
+def memory_of(name: str) -> dict:
+    """What the tasks of one operator keep for later ones in this Python worker; tasks of others empty it, see frugal()."""
+    return _MEMORIES.setdefault(name, {})
+
+
+def frugal(run: Callable, keeps: str = "") -> Callable:
+    """A function for mapInArrow that gives back memory when its task ends, and what other operators than `keeps` kept when it begins."""
 
     def task(batches: Iterator) -> Iterator:
+        others = [kept for name, kept in _MEMORIES.items() if name != keeps and kept]
+        for kept in others:
+            kept.clear()
+        if others:
+            gc.collect()
         try:
             yield from run(batches)
         finally:

@@ -16,14 +16,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .shared import bounded_batches, frugal, materialize, new_path, whole
+from .shared import bounded_batches, frugal, materialize, memory_of, new_path, whole
 
 #: Appended to each document.
 END_ID = 2
 #: Bytes of text handled at once in a Python worker, and when encoding.
 SLICE, ENCODED = 1 << 20, 1 << 20
 #: Pre-tokens that a worker remembers, the first it sees (bounds memory, changes no result).
-REMEMBERED = 300_000
+REMEMBERED = 250_000
 #: Fixed value: the pattern by which the public byte-level vocabulary splits texts before merging bytes.
 PRETOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: The same for texts of ASCII or of Latin letters, with the letters named and first, which is faster: no other branch begins as they do.
@@ -127,7 +127,7 @@ class Encoder:
         return ids, bounds
 
 
-_ENCODERS: dict[str, Encoder] = {}
+_ENCODERS: dict[str, Encoder] = memory_of("tokens")
 
 
 def encoder(path: str) -> Encoder:
@@ -180,7 +180,7 @@ def write_tokens(docs: DataFrame, target: str, path: str | None = None, end_id:
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), whole(text_col).alias("text"))
     order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text")]
     dealt = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order)
-    writer = dealt.mapInArrow(frugal(encode), schema).write.option("compression", "zstd")
+    writer = dealt.mapInArrow(frugal(encode, "tokens"), schema).write.option("compression", "zstd")
     for key, value in {"parquet.writer.version": "v2", "parquet.enable.dictionary": "true", "parquet.block.size": row_group, "parquet.page.size": page, "parquet.page.row.count.limit": 20000}.items():
         writer = writer.option(key, value)
     writer.parquet(target)

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import bounded_batches, frugal, materialize, whole
+from .shared import bounded_batches, frugal, materialize, memory_of, whole
 
 #: At most so many labelled rows of each class (least hash of their id) are learned from, and so many terms kept.
 TRAIN_TOXIC, TRAIN_CLEAN, TERMS = 4000, 6000, 3000
@@ -149,7 +149,7 @@ class Lexicon:
         return out
 
 
-_LEXICONS: dict[int, Lexicon] = {}
+_LEXICONS: dict[int, Lexicon] = memory_of("toxicity")
 
 
 def lexicon_of(terms: dict[str, float]) -> Lexicon:
@@ -219,7 +219,7 @@ def _featured(rows: DataFrame, lexicon: dict[str, float]) -> DataFrame:
             values = [known.features(t or "") for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("d"), batch.column("toxic"), pa.array(values, pa.list_(pa.float64()))], names=["d", "toxic", "features"])
 
-    return rows.mapInArrow(run, "d long, toxic int, features array<double>")
+    return rows.mapInArrow(frugal(run, "toxicity"), "d long, toxic int, features array<double>")
 
 
 def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -240,7 +240,7 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(p)], names=["doc_id", "score"])
 
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False))
-    return rows.mapInArrow(frugal(run), "doc_id long, score double").select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    return rows.mapInArrow(frugal(run, "toxicity"), "doc_id long, score double").select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -263,4 +263,4 @@ def keep_clean(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, text_
             p = 1 / (1 + np.exp(-((x * weights).sum(axis=1) + bias).clip(-30, 30)))
             yield batch.filter(pa.array(p < threshold))
 
-    return docs.mapInArrow(frugal(run), docs.schema)
+    return docs.mapInArrow(frugal(run, "toxicity"), docs.schema)
