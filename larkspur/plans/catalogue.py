@@ -127,6 +127,20 @@ def _parcel(spark: SparkSession, sf: str) -> DataFrame:
     return lookup.addresses_by_parcel(rows, least).select("gnaf_pid")
 
 
+_LARGEST = "(SELECT street_id FROM s ORDER BY address_count DESC, street_id LIMIT 1)"
+
+
+def _drill_down(threshold: int, digit: str | None) -> Query:
+    """The entries of the street with most addresses."""
+
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        rows = _index(spark, sf)[0]
+        largest = rows.orderBy(F.desc("address_count"), "street_id").first()["street_id"]
+        return lookup.drill_down(rows, streets.with_digits(_entries(spark, sf), threshold), largest, digit)
+
+    return run
+
+
 def _script_rows(spark: SparkSession, sf: str) -> DataFrame:
     return _streets(spark, sf).select(F.col("street_id").alias("id"), "display", "display_search", "street_key", "shard_prefix", "street_name", F.col("street_type_abbrev").alias("street_type"), F.col("street_suffix_code").alias("street_suffix"), "locality_name", "state", "postcode", "address_count", F.lit(None).cast("string").alias("digit_shards"), "num_min", "num_max", "flat_min", "flat_max")
 
@@ -215,8 +229,8 @@ CATALOGUE: dict[str, tuple[Query, str | None]] = {
     "parcel_lookup": (_parcel, f"WITH {A} SELECT gnaf_pid FROM a WHERE legal_parcel_id = (SELECT min(legal_parcel_id) FROM a WHERE legal_parcel_id <> '')"),
     "address_by_id": (lambda s, d: (lambda rows: lookup.address_by_pid(rows, rows.agg(F.min("gnaf_pid")).first()[0].lower()).select("gnaf_pid", "number_first", "flat_number"))(sample_addresses(s, d)), f"WITH {A} SELECT gnaf_pid, number_first, flat_number FROM a WHERE gnaf_pid = (SELECT min(gnaf_pid) FROM a) ORDER BY number_first NULLS FIRST, flat_number NULLS FIRST LIMIT 1"),
     "street_by_id": (lambda s, d: lookup.street_by_id(_streets(s, d), 7).select("street_id", "street_key", "display"), f"WITH {S} SELECT street_id, street_key, display FROM s WHERE street_id = 7"),
-    "street_drilldown": (lambda s, d: lookup.drill_down(_streets(s, d), streets.with_digits(_entries(s, d), THRESHOLD), 7), f"WITH {E} SELECT gnaf_pid AS p, {_SLA} AS s FROM e JOIN s USING (street_key) WHERE street_id = 7"),
-    "street_drilldown_digit": (lambda s, d: lookup.drill_down(_streets(s, d), streets.with_digits(_entries(s, d), 2), 7, "1"), f"WITH {E}, n AS (SELECT *, count(*) OVER (PARTITION BY street_key) AS entries FROM e) SELECT gnaf_pid AS p, {_SLA} AS s FROM n JOIN s USING (street_key) WHERE street_id = 7 AND (entries <= 2 OR number_first IS NULL OR starts_with(CAST(number_first AS varchar), '1'))"),
+    "street_drilldown": (_drill_down(THRESHOLD, None), f"WITH {E} SELECT gnaf_pid AS p, {_SLA} AS s FROM e JOIN s USING (street_key) WHERE street_id = {_LARGEST}"),
+    "street_drilldown_digit": (_drill_down(2, "1"), f"WITH {E}, n AS (SELECT *, count(*) OVER (PARTITION BY street_key) AS entries FROM e) SELECT gnaf_pid AS p, {_SLA} AS s FROM n JOIN s USING (street_key) WHERE street_id = {_LARGEST} AND (entries <= 2 OR number_first IS NULL OR starts_with(CAST(number_first AS varchar), '1'))"),
     "digit_maps": (lambda s, d: streets.digit_maps(_entries(s, d), THRESHOLD).select("street_key", F.to_json("digit_shards").alias("digit_shards")), f"WITH {D}, f AS (SELECT DISTINCT street_key, digit, left(md5(street_key || '|' || digit), 3) AS prefix FROM d WHERE digit IS NOT NULL) SELECT street_key, '{{' || string_agg('\"' || digit || '\":\"' || prefix || '\"', ',' ORDER BY digit) || '}}' AS digit_shards FROM f GROUP BY 1"),
     "street_files": (lambda s, d: streets.street_files(_entries(s, d), THRESHOLD).select("prefix", F.array_join("keys", ";").alias("keys")), f"WITH {D}, k AS (SELECT DISTINCT street_key || coalesce('|' || digit, '') AS key FROM d) SELECT left(md5(key), 3) AS prefix, string_agg(key, ';' ORDER BY key) AS keys FROM k GROUP BY 1"),
     "collected_entries": (lambda s, d: streets.collected_entries(_entries(s, d)).select("street_key", F.array_join("entries.p", ",").alias("pids"), F.size("entries").alias("n")), f"WITH {E} SELECT street_key, string_agg(gnaf_pid, ',' ORDER BY gnaf_pid) AS pids, CAST(count(*) AS int) AS n FROM e GROUP BY 1"),
