@@ -5,8 +5,9 @@ from __future__ import annotations
 import os
 import re
 import zlib
+from collections import defaultdict
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, count, islice
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +33,10 @@ LATIN = tuple(rf" ?[{x}]+|'s|'t|'re|'ve|'m|'ll|'d| ?[0-9]+| ?[^\s0-9{x}]+|\s+(?!
 #: Characters beyond those texts, and characters that libraries disagree on as white space: texts with them are encoded whole.
 BEYOND = re.compile("[\x1c-\x1f\x85\xb2\xb3\xb9\xbc-\xbe]|[^\x00-\u024f]")
 DISPUTED = re.compile("[\x1c-\x1f\x85]")
+#: Characters encoded at once, and where longer texts may be cut: after a word, before a space.
+RUN, BETWEEN = 1 << 20, re.compile(r"[A-Za-z](?= )")
+#: How byte-level vocabularies write the space and the line end.
+SPACE, LINE_END = "\u0120", "\u010a"
 
 
 def default_tokenizer() -> str:
@@ -41,21 +46,8 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-class _Index(dict):
-    """Numbers of pre-tokens; one that has none gets the next, and is listed as new."""
-
-    def __init__(self) -> None:
-        super().__init__()
-        self.new: list = []
-
-    def __missing__(self, key: str | tuple) -> int:
-        self[key] = out = len(self)
-        self.new.append(key)
-        return out
-
-
 #: Words that the library gets in one call; its own memory serves short calls better.
-_CALL = 1000
+_CALL = 250
 
 
 class Encoder:
@@ -75,7 +67,11 @@ class Encoder:
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.ascii, self.latin = (re.compile(x).findall for x in LATIN)
         self.other = regex.compile(PRETOKEN).findall
-        self.index = _Index()
+        vocabulary = self.tokenizer.get_vocab()
+        self.spaced = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.spaced[[i for token, i in vocabulary.items() if token[0] == SPACE]] = True
+        self.line_end = vocabulary.get(LINE_END, -1)
+        self.index = defaultdict(count().__next__)  # a pre-token without a number gets the next
         self.ids, self.starts = np.zeros(0, dtype="<u4"), np.zeros(1, dtype=np.int64)
 
     def _ids(self, text: str) -> np.ndarray:
@@ -92,26 +88,74 @@ class Encoder:
             return self.latin(text)
         return [(text,)] if DISPUTED.search(text) else self.other(text)
 
+    def _joined(self, words: list, mark: str) -> tuple[np.ndarray, np.ndarray] | None:
+        """(ids end to end, how many each word has) of words that all begin with a space, or that get a line end before each.
+
+        Only the first id of each word can hold its mark; None if the library cut them otherwise.
+        """
+        calls = [mark + mark.join(words[k : k + _CALL]) if mark else "".join(words[k : k + _CALL]) for k in range(0, len(words), _CALL)]
+        ids = np.array(list(chain.from_iterable(e.ids for e in self.tokenizer.encode_batch_fast(calls, add_special_tokens=False))), dtype="<u4")
+        first = np.flatnonzero(ids == self.line_end if mark else self.spaced[ids])
+        if len(first) != len(words):
+            return None
+        sizes = np.diff(first, append=len(ids))
+        return (np.delete(ids, first), sizes - 1) if mark else (ids, sizes)
+
     def _learn(self, new: list) -> None:
-        """Ids of new pre-tokens go to the end of the table. Words with a space before them are encoded many in a call."""
-        words = [w for w in new if w[0] == " " and w[1:].isalpha()]
-        found = {}
-        for k in range(0, len(words), _CALL):
-            some = words[k : k + _CALL]
-            e = self.tokenizer.encode("".join(some), add_special_tokens=False)
-            ids, cuts = np.array(e.ids, dtype="<u4"), np.flatnonzero(np.diff(np.array(e.word_ids))) + 1
-            if len(cuts) == len(some) - 1:
-                found.update(zip(some, np.split(ids, cuts)))
-        each = [found[w] if w in found else self._ids(w[0] if isinstance(w, tuple) else w) for w in new]
-        self.ids = np.concatenate([self.ids, *each])
-        self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum([len(x) for x in each])])
+        """Ids of new pre-tokens go to the end of the table. Those that white space sets apart are encoded many in a call."""
+        spaced = np.fromiter((type(w) is str and w[0] == " " and w[1:].isalpha() for w in new), bool, len(new))
+        plain = np.fromiter((type(w) is str and not w.isspace() for w in new), bool, len(new)) & ~spaced
+        sizes, parts = np.zeros(len(new), dtype=np.int64), []
+        for chosen, mark in ((spaced, ""), (plain, "\n"), (~spaced & ~plain, None)):
+            at = np.flatnonzero(chosen)
+            words = [new[i] for i in at.tolist()]
+            got = self._joined(words, mark) if mark is not None and words else None
+            if got is None:
+                each = [self._ids(w[0] if isinstance(w, tuple) else w) for w in words]
+                got = np.concatenate([np.zeros(0, dtype="<u4"), *each]), np.array([len(x) for x in each], dtype=np.int64)
+            sizes[at] = got[1]
+            parts.append((at, *got))
+        ends = np.cumsum(sizes)
+        ids = np.zeros(int(ends[-1]), dtype="<u4")
+        for at, some, n in parts:
+            ids[np.repeat(ends[at] - np.cumsum(n), n) + np.arange(len(some))] = some
+        self.ids = np.concatenate([self.ids, ids])
+        self.starts = np.concatenate([self.starts, self.starts[-1] + ends])
+
+    def _runs(self, text: str) -> list[str]:
+        """A long text in runs that begin with the space after a word, where a pre-token always ends; whole if it has an added token."""
+        if len(text) <= RUN or any(token in text for token in self.added) or DISPUTED.search(text):
+            return [text]
+        runs, a = [], 0
+        for cut in BETWEEN.finditer(text):
+            if cut.end() - a > RUN:
+                runs.append(text[a : cut.end()])
+                a = cut.end()
+        return [*runs, text[a:]]
 
     def encode(self, texts: list[str], end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts end to end, where each text's begin and the last one's end), with `end` after each text if given."""
+        runs = [self._runs(t) for t in texts]
+        done, group, size = [], [], 0
+        for run in chain.from_iterable(runs):
+            if group and size + len(run) > RUN:
+                done.append(self._encode(group))
+                group, size = [], 0
+            group.append(run)
+            size += len(run)
+        done.append(self._encode(group))
+        ids, sizes = (np.concatenate(x) for x in zip(*done))
+        bounds = np.concatenate([[0], np.cumsum(sizes)])[np.concatenate([[0], np.cumsum([len(x) for x in runs])]).astype(np.int64)]
+        if end is not None:
+            ids, bounds = np.insert(ids, bounds[1:], np.uint32(end)), bounds + np.arange(len(bounds))
+        return ids, bounds
+
+    def _encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts end to end, how many each has)."""
         split = [self._split(t) for t in texts]
         counts, known = np.array([len(x) for x in split], dtype=np.int64), len(self.index)
         which = np.fromiter(map(self.index.__getitem__, chain.from_iterable(split)), np.int64, int(counts.sum()))
-        new, self.index.new = self.index.new, []
+        new = list(islice(reversed(self.index), len(self.index) - known))[::-1]
         if new:
             self._learn(new)
         size = self.starts[which + 1] - self.starts[which]
@@ -121,10 +165,9 @@ class Encoder:
         if len(self.index) > REMEMBERED:
             for w in new:
                 del self.index[w]
+            self.index.default_factory = count(known).__next__
             self.ids, self.starts = self.ids[: self.starts[known]], self.starts[: known + 1]
-        if end is not None:
-            ids, bounds = np.insert(ids, bounds[1:], np.uint32(end)), bounds + np.arange(len(bounds))
-        return ids, bounds
+        return ids, np.diff(bounds)
 
 
 _ENCODERS: dict[str, Encoder] = memory_of("tokens")

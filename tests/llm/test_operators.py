@@ -384,3 +384,22 @@ def test_toxicity_learns(spark, empty):
     assert got[0]["held_out"] == (zlib.crc32(b"0") % 5 == 0)
     assert {r["doc_id"] for r in _rows(toxicity.keep_clean(docs, marks))} == {i for i, _ in rows} - {i for i, y in labels if y}
     assert toxicity.score(empty, marks.limit(0)).count() == 0
+
+
+def test_encoder_in_runs(monkeypatch):
+    """Texts cut into runs, words learned many at a time, and words beyond those remembered give the library's ids."""
+    import random
+
+    from tokenizers import Tokenizer
+
+    from larkspur.llm import tokens
+
+    monkeypatch.setattr(tokens, "RUN", 200)
+    monkeypatch.setattr(tokens, "REMEMBERED", 20)
+    plain, ours, rng = Tokenizer.from_file(tokens.default_tokenizer()), tokens.Encoder(tokens.default_tokenizer()), random.Random(3)
+    odd = ["word", "Ünï", " ", "  ", "\n", "\n\n", "x1", "'s", "it's", "...", "日本語", "42", "\t", " a", " the", "é", " !?", "d'll"]
+    texts = ["".join(rng.choices([*odd, "<|endoftext|>", "\x1d"] if i % 3 else [*odd, " b ", f" w{i}"], k=rng.choice([0, 1, 5, 50, 900]))) for i in range(300)]
+    assert sum(len(ours._runs(t)) > 1 for t in texts) > 10
+    for some in (texts[:7], texts, texts[::-1]):
+        ids, bounds = ours.encode(some, 2)
+        assert [ids[a:b].tolist() for a, b in zip(bounds, bounds[1:])] == [plain.encode(t, add_special_tokens=False).ids + [2] for t in some]
