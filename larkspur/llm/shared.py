@@ -88,15 +88,23 @@ def memory_of(name: str) -> dict:
     return _MEMORIES.setdefault(name, {})
 
 
+def forget_others(keeps: str) -> None:
+    """Empty what other operators than `keeps` kept in this Python worker."""
+    others = [kept for name, kept in _MEMORIES.items() if name != keeps and kept]
+    for kept in others:
+        kept.clear()
+    if others:
+        gc.collect()
+
+
 def frugal(run: Callable, keeps: str = "") -> Callable:
-    """A function for mapInArrow that gives back memory when its task ends, and what other operators than `keeps` kept when it begins."""
+    """A function for mapInArrow that gives back memory when its task ends, and what other operators than `keeps` kept when it begins.
+
+    The inner function is sent by value, with copies of the globals it names: so it names functions of this module only.
+    """
 
     def task(batches: Iterator) -> Iterator:
-        others = [kept for name, kept in _MEMORIES.items() if name != keeps and kept]
-        for kept in others:
-            kept.clear()
-        if others:
-            gc.collect()
+        forget_others(keeps)
         try:
             yield from run(batches)
         finally:

@@ -403,3 +403,25 @@ def test_encoder_in_runs(monkeypatch):
     for some in (texts[:7], texts, texts[::-1]):
         ids, bounds = ours.encode(some, 2)
         assert [ids[a:b].tolist() for a, b in zip(bounds, bounds[1:])] == [plain.encode(t, add_special_tokens=False).ids + [2] for t in some]
+
+
+def test_workers_forget(spark):
+    """A task of one operator empties what another kept in the same Python worker, and leaves its own."""
+    import pyarrow as pa
+
+    from larkspur.llm import shared
+
+    def keep(batches):
+        for batch in batches:
+            shared.memory_of("one")["kept"] = shared.memory_of("two")["kept"] = 1
+            yield batch
+
+    def left(batches):
+        for _ in batches:
+            yield pa.RecordBatch.from_pydict({"one": [len(shared.memory_of("one"))], "two": [len(shared.memory_of("two"))]})
+
+    def both(batches):  # one task, so one worker, as two tasks would be that share it
+        rows = list(shared.frugal(keep)(batches))
+        yield from shared.frugal(left, "two")(rows)
+
+    assert [tuple(r) for r in spark.range(1).coalesce(1).mapInArrow(both, "one long, two long").collect()] == [(0, 1)]
