@@ -65,10 +65,13 @@ def overlay(points: DataFrame, polygons: DataFrame, zoom: int) -> DataFrame:
     """points (id, latitude, longitude) with the other columns of each polygon (x, y, ring or rings, ...) that holds them.
 
     Tiles make it an equi-join; ray casting decides within a tile. rings: outer and inner rings of all parts of a polygon; a
-    point counts as inside if it is in an odd number of them, so holes are left out.
+    point counts as inside if it is in an odd number of them, so holes are left out. Places are columns of a generator: the
+    optimizer would otherwise restate ray casting over each key equal to one that a coordinate is computed from, several times
+    a point, and may filter by a copy before its key is joined, which fails.
     """
     x, y, px, py = tile(F.col("latitude"), F.col("longitude"), zoom)
-    placed = points.withColumns({"x": x, "y": y, "_px": px, "_py": py})
+    place = F.struct(x.alias("x"), y.alias("y"), px.alias("_px"), py.alias("_py"))
+    placed = points.drop("x", "y", "_px", "_py").select("*", F.inline(F.array(place)))
     if "rings" in polygons.columns:
         within = F.size(F.filter("rings", lambda r: inside(F.col("_px"), F.col("_py"), r))) % 2 == 1
     else:

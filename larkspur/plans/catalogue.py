@@ -109,7 +109,7 @@ def _overlay(spark: SparkSession, sf: str) -> DataFrame:
     points = sample_addresses(spark, sf).select("gnaf_pid", "latitude", "longitude")
     ring = F.array(*[F.struct(F.lit(a).alias("x"), F.lit(b).alias("y")) for a, b in ((0.1, 0.1), (0.9, 0.1), (0.9, 0.9), (0.1, 0.9))])
     polygons = points.select(x.alias("x"), y.alias("y")).distinct().select("x", "y", F.lit("square").alias("layer"), ring.alias("ring"))
-    return lookup.overlay(points, polygons, 6).select("gnaf_pid", "x", "y", "layer")
+    return lookup.overlay(points, F.broadcast(polygons), 6).select("gnaf_pid", "x", "y", "layer")  # at most 64 x 64 tiles
 
 
 def _responses(spark: SparkSession, sf: str) -> DataFrame:

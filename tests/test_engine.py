@@ -167,3 +167,29 @@ def test_stream_goes_on_where_it_stopped(spark, tmp_path):
     spark.createDataFrame([("new",)], "q string").write.mode("append").parquet(queue)
     run()
     assert sorted(r.q for r in spark.read.parquet(target).collect()) == sorted([*(f"q{i}" for i in range(20)), "new"])
+
+
+_FRESH = """
+import sys
+from pyspark.sql import SparkSession
+from larkspur.plans.catalogue import CATALOGUE
+spark = SparkSession.builder.master("local[2]").config("spark.sql.shuffle.partitions", "4").config("spark.ui.enabled", "false").getOrCreate()
+df = CATALOGUE["polygon_overlay"][0](spark, sys.argv[1])
+plan = df._jdf.queryExecution().optimizedPlan().toString()
+print("rows", len(df.collect()), plan.count("!Filter"), plan.count("zip_with"))
+"""
+
+
+def test_overlay_as_first_query():
+    """A session's first overlay: the optimizer, by the numbers of its columns, once restated ray casting over keys not joined yet."""
+    import subprocess
+    import sys
+
+    where = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    done = subprocess.run([sys.executable, "-c", _FRESH, DATA], cwd=where, capture_output=True, text=True, timeout=300, env=os.environ | {"TZ": "UTC"})
+    con = duckdb.connect()
+    for t in ("region", "nation", "supplier", "part", "orders", "lineitem"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{DATA}/{t}.parquet'")
+    n = con.sql(f"SELECT count(*) FROM ({CATALOGUE['polygon_overlay'][1]})").fetchall()[0][0]
+    assert done.returncode == 0, done.stderr[-2000:]
+    assert done.stdout.split("rows ")[-1].split() == [str(n), "0", "1"]
