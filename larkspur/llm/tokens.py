@@ -7,7 +7,8 @@ import re
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
-from itertools import chain, count, islice
+from functools import cache
+from itertools import chain, count, groupby, islice
 
 import numpy as np
 import pyarrow as pa
@@ -25,18 +26,20 @@ END_ID = 2
 SLICE, ENCODED = 1 << 20, 1 << 20
 #: Pre-tokens that a worker remembers, the first it sees (bounds memory, changes no result).
 REMEMBERED = 250_000
-#: Fixed value: the pattern by which the public byte-level vocabulary splits texts before merging bytes.
+#: Fixed value: the pattern by which the public byte-level vocabulary splits texts before merging bytes; Encoder._cut() does it.
 PRETOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: The same for texts of ASCII or of Latin letters, with the letters named and first, which is faster: no other branch begins as they do.
-_LETTERS = ("A-Za-z", "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u024f")
-LATIN = tuple(rf" ?[{x}]+|'s|'t|'re|'ve|'m|'ll|'d| ?[0-9]+| ?[^\s0-9{x}]+|\s+(?!\S)|\s+" for x in _LETTERS)
-#: Characters beyond those texts, and characters that libraries disagree on as white space: texts with them are encoded whole.
-BEYOND = re.compile("[\x1c-\x1f\x85\xb2\xb3\xb9\xbc-\xbe]|[^\x00-\u024f]")
+#: Characters that libraries disagree on as white space: texts with them are encoded whole.
 DISPUTED = re.compile("[\x1c-\x1f\x85]")
 #: Characters encoded at once, and where longer texts may be cut: after a word, before a space.
 RUN, BETWEEN = 1 << 20, re.compile(r"[A-Za-z](?= )")
-#: How byte-level vocabularies write the space and the line end.
+#: Kinds of characters, and what PRETOKEN takes off after an apostrophe, as code points.
+SPACES, LETTER, NUMBER, OTHER = range(4)
+SHORT, LONG = [ord(c) for c in "stmd"], [tuple(map(ord, x)) for x in ("re", "ve", "ll")]
+#: How byte-level vocabularies write the space, the line end, and each byte; here the line end stays, it separates words.
 SPACE, LINE_END = "\u0120", "\u010a"
+LETTERS, _REST = np.arange(256, dtype="<u2"), np.setdiff1d(np.arange(256), [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)])
+LETTERS[_REST] = 256 + np.arange(len(_REST))
+LETTERS[ord("\n")] = ord("\n")
 
 
 def default_tokenizer() -> str:
@@ -46,6 +49,19 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+@cache
+def kinds() -> np.ndarray:
+    """Kind of each code point, by the classes of PRETOKEN."""
+    import regex
+
+    every = "".join(map(chr, range(0x110000)))
+    out = np.full(len(every), OTHER, dtype=np.uint8)
+    for kind, pattern in ((SPACES, r"\s+"), (LETTER, r"\p{L}+"), (NUMBER, r"\p{N}+")):
+        for run in regex.finditer(pattern, every):
+            out[run.start() : run.end()] = kind
+    return out
+
+
 #: Words that the library gets in one call; its own memory serves short calls better.
 _CALL = 250
 
@@ -54,19 +70,20 @@ class Encoder:
     """Ids of texts exactly as the tokenizers library gives them.
 
     A byte-level vocabulary merges bytes within pre-tokens only, so each is encoded by the library once and remembered: a
-    text is the numbers of its pre-tokens, and its ids are gathered from one table. Texts that hold an added token, such as
+    text is the numbers of its pre-tokens, and its ids are gathered from one table. Texts are cut by arithmetic on arrays, many
+    at once, not by matching; a test compares with PRETOKEN. Texts that hold an added token, such as
     the vocabulary's mark for the end of a text, are encoded by the library whole, as it cuts them there first.
     """
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        import regex
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import CharDelimiterSplit
 
         self.tokenizer = Tokenizer.from_file(path)
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.ascii, self.latin = (re.compile(x).findall for x in LATIN)
-        self.other = regex.compile(PRETOKEN).findall
+        self.merges = Tokenizer(self.tokenizer.model)  # the same model for words that are cut and written as letters already
+        self.merges.pre_tokenizer = CharDelimiterSplit(" ")
         vocabulary = self.tokenizer.get_vocab()
         self.spaced = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         self.spaced[[i for token, i in vocabulary.items() if token[0] == SPACE]] = True
@@ -77,24 +94,47 @@ class Encoder:
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4")
 
-    def _split(self, text: str) -> list:
-        """The pre-tokens of a text; one for all of it if it must be encoded whole."""
-        for token in self.added:
-            if token in text:
-                return [(text,)]
-        if text.isascii():
-            return [(text,)] if "\x1c" in text or "\x1d" in text or "\x1e" in text or "\x1f" in text else self.ascii(text)
-        if BEYOND.search(text) is None:
-            return self.latin(text)
-        return [(text,)] if DISPUTED.search(text) else self.other(text)
-
-    def _joined(self, words: list, mark: str) -> tuple[np.ndarray, np.ndarray] | None:
-        """(ids end to end, how many each word has) of words that all begin with a space, or that get a line end before each.
-
-        Only the first id of each word can hold its mark; None if the library cut them otherwise.
+    def _uncut(self, text: str) -> bool:
+        """Whether the text must be encoded by the library as it is."""
+        return any(token in text for token in self.added) or DISPUTED.search(text) is not None
+
+    def _cut(self, texts: list[str]) -> tuple[pa.StringArray, np.ndarray]:
+        """(pre-tokens of all texts end to end, how many each has): where PRETOKEN begins a match, decided for all characters at once."""
+        text = "".join(texts)
+        points, bounds = np.frombuffer(text.encode("utf-32-le"), dtype="<u4"), np.cumsum([0, *map(len, texts)])
+        kind, n = kinds()[points], len(points)
+        edge = np.zeros(n + 1, dtype=bool)  # a text begins, or the last one has ended
+        edge[bounds] = True
+        space, begins = kind == SPACES, edge.copy()
+        begins[1:n] |= (kind[1:] != kind[:-1]) & (points[:-1] != 32)  # a space goes with what follows it
+        begins[1 : n - 1] |= space[:-2] & space[1:-1] & ~space[2:] & ~edge[2:n]  # the last of several goes on its own
+        marks = np.flatnonzero(points == 39)
+        marks = marks[begins[marks] & ~edge[marks + 1]]
+        one, two = points[marks + 1], points[np.minimum(marks + 2, n - 1)]
+        short, long = np.isin(one, SHORT), np.zeros(len(marks), dtype=bool)
+        for a, b in LONG:
+            long |= (one == a) & (two == b) & ~edge[marks + 2]
+        begins[marks[short | long] + 1] = False
+        begins[marks[short] + 2] = True
+        begins[marks[long] + 3] = True
+        at = np.flatnonzero(begins)
+        counts = np.diff(np.searchsorted(at, bounds))
+        if not text.isascii():
+            more = (points > 0x7F).astype(np.uint8) + (points > 0x7FF) + (points > 0xFFFF)  # bytes beyond the first
+            at = at + np.concatenate([[0], np.cumsum(more, dtype=np.int64)])[at]
+        return pa.StringArray.from_buffers(len(at) - 1, pa.py_buffer(at.astype(np.int32)), pa.py_buffer(text.encode())), counts
+
+    def _joined(self, words: list, mark: bool) -> tuple[np.ndarray, np.ndarray] | None:
+        """(ids end to end, how many each has) of words that all begin with a space, or that get a line end before each.
+
+        Only the first id of each word can hold its mark; None if the library gave others.
         """
-        calls = [mark + mark.join(words[k : k + _CALL]) if mark else "".join(words[k : k + _CALL]) for k in range(0, len(words), _CALL)]
-        ids = np.array(list(chain.from_iterable(e.ids for e in self.tokenizer.encode_batch_fast(calls, add_special_tokens=False))), dtype="<u4")
+        if self.tokenizer.normalizer is not None:
+            return None
+        words = LETTERS[np.frombuffer("\n".join(words).encode(), dtype=np.uint8)].tobytes().decode("utf-16-le").split("\n")
+        lead, between = (f"{LINE_END} ", f" {LINE_END} ") if mark else ("", " ")
+        calls = [lead + between.join(words[k : k + _CALL]) for k in range(0, len(words), _CALL)]
+        ids = np.array(list(chain.from_iterable(e.ids for e in self.merges.encode_batch_fast(calls, add_special_tokens=False))), dtype="<u4")
         first = np.flatnonzero(ids == self.line_end if mark else self.spaced[ids])
         if len(first) != len(words):
             return None
@@ -102,16 +142,16 @@ class Encoder:
         return (np.delete(ids, first), sizes - 1) if mark else (ids, sizes)
 
     def _learn(self, new: list) -> None:
-        """Ids of new pre-tokens go to the end of the table. Those that white space sets apart are encoded many in a call."""
-        spaced = np.fromiter((type(w) is str and w[0] == " " and w[1:].isalpha() for w in new), bool, len(new))
-        plain = np.fromiter((type(w) is str and not w.isspace() for w in new), bool, len(new)) & ~spaced
+        """Ids of new pre-tokens go to the end of the table. All but white space are encoded many in a call."""
+        blank = np.array([w.isspace() for w in new], dtype=bool)
+        spaced = np.array([w[0] == " " for w in new], dtype=bool) & ~blank
         sizes, parts = np.zeros(len(new), dtype=np.int64), []
-        for chosen, mark in ((spaced, ""), (plain, "\n"), (~spaced & ~plain, None)):
+        for chosen, mark in ((spaced, False), (~spaced & ~blank, True), (blank, None)):
             at = np.flatnonzero(chosen)
             words = [new[i] for i in at.tolist()]
             got = self._joined(words, mark) if mark is not None and words else None
             if got is None:
-                each = [self._ids(w[0] if isinstance(w, tuple) else w) for w in words]
+                each = [self._ids(w) for w in words]
                 got = np.concatenate([np.zeros(0, dtype="<u4"), *each]), np.array([len(x) for x in each], dtype=np.int64)
             sizes[at] = got[1]
             parts.append((at, *got))
@@ -152,9 +192,21 @@ class Encoder:
 
     def _encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts end to end, how many each has)."""
-        split = [self._split(t) for t in texts]
-        counts, known = np.array([len(x) for x in split], dtype=np.int64), len(self.index)
-        which = np.fromiter(map(self.index.__getitem__, chain.from_iterable(split)), np.int64, int(counts.sum()))
+        parts = []
+        for uncut, some in groupby(texts, self._uncut):
+            if uncut:
+                each = [self._ids(t) for t in some]
+                parts.append((np.concatenate(each), np.array([len(x) for x in each], dtype=np.int64)))
+            else:
+                parts.append(self._gathered(list(some)))
+        return tuple(np.concatenate(x) for x in zip(*parts)) if parts else (np.zeros(0, dtype="<u4"), np.zeros(0, dtype=np.int64))
+
+    def _gathered(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The same for texts that can be cut into pre-tokens; only different ones are looked up."""
+        words, counts = self._cut(texts)
+        coded, known = words.dictionary_encode(), len(self.index)
+        numbers = np.fromiter(map(self.index.__getitem__, coded.dictionary.to_numpy(zero_copy_only=False)), np.int64, len(coded.dictionary))
+        which = numbers[coded.indices.to_numpy()]
         new = list(islice(reversed(self.index), len(self.index) - known))[::-1]
         if new:
             self._learn(new)

@@ -425,3 +425,42 @@ def test_workers_forget(spark):
         yield from shared.frugal(left, "two")(rows)
 
     assert [tuple(r) for r in spark.range(1).coalesce(1).mapInArrow(both, "one long, two long").collect()] == [(0, 1)]
+
+
+def test_pretokens_are_cut_as_the_pattern_does():
+    import random
+
+    import regex
+
+    from larkspur.llm import tokens
+
+    e, pattern, rng = tokens.Encoder(tokens.default_tokenizer()), regex.compile(tokens.PRETOKEN), random.Random(5)
+    bits = ["'", "'s", "'re", "'ll", "'ve", "'d", " ", "  ", "\n", " \n", "\t", "a", "e", "l", "r", "s", "S", "1", "٣", "\xb2", "!", ".", "\xe9", "\xaa", "中", "\U0001f600", "　", "\xa0", "​", "́", "\0"]
+    for _ in range(4000):
+        texts = ["".join(rng.choices(bits, k=rng.randint(0, 9))) for _ in range(rng.randint(0, 4))]
+        words, counts = e._cut(texts)
+        expected = [pattern.findall(t) for t in texts]
+        assert (words.to_pylist(), counts.tolist()) == ([w for x in expected for w in x], [len(x) for x in expected])
+
+
+def test_a_word_is_looked_up_once_in_a_run():
+    from collections import defaultdict
+    from itertools import count
+
+    from tokenizers import Tokenizer
+
+    from larkspur.llm import tokens
+
+    class Counting(defaultdict):
+        asked = 0
+
+        def __getitem__(self, word):
+            self.asked += 1
+            return super().__getitem__(word)
+
+    plain, e = Tokenizer.from_file(tokens.default_tokenizer()), tokens.Encoder(tokens.default_tokenizer())
+    e.index = Counting(count().__next__)
+    texts = ["one two, it's žluva " * 1000, "", "two<|endoftext|> one", "one\x1ctwo", "two  \n one " * 500]
+    ids, bounds = e.encode(texts, 2)
+    assert [ids[a:b].tolist() for a, b in zip(bounds, bounds[1:])] == [plain.encode(t, add_special_tokens=False).ids + [2] for t in texts]
+    assert e.index.asked < 50
